@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import language_id, line_dedup, mixing, quality
+from ledgerloom.llm import bpe, language_id, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op10_quality": quality.op10_quality,
     "op9_language_id": language_id.op9_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
