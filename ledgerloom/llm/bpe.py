@@ -27,8 +27,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE = 400_000
 #: Pieces longer than this are merged by a heap.
 LONG = 48
-#: Fixed value: white space as the pattern's \s means it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+#: The code points that are white space to the pattern.
+SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def default_vocabulary() -> tuple[str, str]:

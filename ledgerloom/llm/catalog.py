@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, language_id, line_dedup, mixing, quality, toxicity
+from ledgerloom.llm import bpe, jaccard_join, language_id, line_dedup, mixing, quality, token_rollup, toxicity, vector_search
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
-    "op10_quality": quality.op10_quality,
-    "op9_language_id": language_id.op9_language_id,
+    "op5_vector_search": vector_search.op5_vector_search,
+    "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
+    "op7_token_counts": token_rollup.op7_token_counts,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_quality": quality.op10_quality,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op7_token_counts": token_rollup.SQL, "op8_line_dedup": line_dedup.SQL}
