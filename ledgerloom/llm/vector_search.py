@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: Vectors that centroids and rotation are fitted on, at most; lists at most; vectors of a part.
 SAMPLE, LISTS, PART = 20_000, 1024, 10_000
 #: Share of the lists that a query probes, and the fewest; lists are probed on until they hold ENOUGH vectors.
-PROBED, LEAST, ENOUGH = 0.25, 8, 200
+PROBED, LEAST, ENOUGH = 0.65, 8, 200
 BLOCK, CHUNK, TEST = 16, 2048, 2.1
 SEED = 11
 
