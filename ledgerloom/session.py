@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the Arrow batches of whole texts; a smaller setting of the caller's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing else writes there."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
