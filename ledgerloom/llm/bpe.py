@@ -12,6 +12,7 @@ pieces of any length are encoded whole (long pieces by a heap, in n log n); an e
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import text_batches
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a task keeps encoded; beyond it, the store starts anew.
-CACHE = 400_000
+#: Pieces that a worker keeps encoded; beyond it, the store starts anew.
+CACHE = 300_000
 #: Pieces longer than this are merged by a heap.
 LONG = 48
 #: The code points that are white space to the pattern.
@@ -175,10 +178,30 @@ def decode(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str |
     return rows.withColumn(into, decoder(path, pattern)(F.col(f"`{ids}`")))
 
 
+ROUND_TRIP = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+
+def round_trip(path: str | None = None, pattern: str | None = None):
+    """A column function: text -> struct of ROUND_TRIP, with the digests of its ids and of the bytes decoded from them."""
+    chosen = (path, pattern) if path and pattern else default_vocabulary()
+
+    @F.pandas_udf(ROUND_TRIP)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(*chosen)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                ids = c.encode(t)
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=ROUND_TRIP.names)
+
+    return both
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every text; number and digest of the ids, digest of the decoded bytes."""
-    both = decode(encode(docs.select(key, text), text, "_ids").select(key, "_ids"), "_ids", "_bytes")
-    return both.select(key, (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"))
+    text_batches(docs.sparkSession)
+    return docs.select(F.col(f"`{key}`"), round_trip()(F.col(f"`{text}`")).alias("_found")).select(F.col(f"`{key}`"), "_found.*")
 
 
 def op4_byte_bpe(spark, sf_dir):

@@ -12,8 +12,9 @@ similarity of at least t share at least T = ceil(t / (1 + t) * (a + b)) elements
    in any common order (prefix filter). The order is by hash, with the elements that are frequent in a sample
    last (the sample only makes it faster). Classes of different components and similar sizes that share that many
    prefix elements are searched: one goes as a query to the shard of the other. Groups of an element that are HOT go to
-   all shards with another component, without counting. If a group of smallest elements was split, one delegate a
-   component goes first, and the components are joined, so that a large group of near copies isn't searched in pairs.
+   all shards with another component, without counting. Where a group of smallest elements was split, one delegate a
+   component of its shards goes first, and the components are joined; then these shards stand in the groups of an
+   element as one row a component, so a large group of near copies is neither gathered nor searched in pairs.
 4. Components of the links come from rounds of minima over neighbours and labels, written to the shared folder.
 
 Search in a shard (DivideSkip): the query's LONG longest lists are set aside; its other lists are merged, and a
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import written
+from ledgerloom.session import text_batches, written
 
 #: Elements that a shard has, on average; a group of one smallest element is split beyond a quarter of it.
 SHARD = 1_000_000
@@ -195,7 +196,8 @@ def join_shard(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 PLACED = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("label", T.BinaryType()), T.StructField("shard", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-ROUTES = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("target", T.LongType()), T.StructField("need", T.IntegerType())])
+#: A query (class x, or with x = 0 the classes of a component in a shard) and what it is searched in (class y, or with y = 0 all) of a shard.
+ROUTES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("x", "label", "shard", "y", "target")), T.StructField("need", T.IntegerType())])
 
 
 def _prefix(s: np.ndarray, avoid: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -233,31 +235,36 @@ def _across(n: int, num: int, den: int):
 
 
 def _matches(num: int, den: int):
-    """Rows (element, size, x, label, shard), sorted by element and size -> ROUTES."""
+    """Rows (element, least, most, x, label, shard), sorted by element and least -> ROUTES. least and most are sizes; they differ where x is 0."""
 
-    def pairs(e, size, x, label, shard) -> Iterator[pd.DataFrame]:
+    def pairs(e, least, most, x, label, shard) -> Iterator[pd.DataFrame]:
         starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         lengths = np.diff(np.append(starts, len(e)))
-        small = np.repeat(lengths <= HOT, lengths)
-        lag, i = 1, np.flatnonzero(small)
+        hot = (lengths > HOT) | (np.logical_or.reduceat(x == 0, starts) & (lengths > 1))
+        lag, i = 1, np.flatnonzero(~np.repeat(hot, lengths))
         while len(i):
             i = i[i + lag < len(e)]
-            i = i[(e[i] == e[i + lag]) & (size[i + lag] * num <= size[i] * den)]
+            i = i[(e[i] == e[i + lag]) & (least[i + lag] * num <= least[i] * den)]
             a, b = i, i + lag
             keep = (label[a] != label[b]) & (shard[a] != shard[b])
             a, b = a[keep], b[keep]
             swap = shard[a] > shard[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             if len(a):
-                yield pd.DataFrame({"x": x[a], "y": x[b], "target": shard[b], "need": np.minimum(SHARED, size[a]).astype(np.int32)})
+                yield pd.DataFrame({"x": x[a], "label": 0, "shard": 0, "y": x[b], "target": shard[b], "need": np.minimum(SHARED, least[a]).astype(np.int32)})
             lag += 1
-        for g in np.flatnonzero(lengths > HOT):
-            part = slice(starts[g], starts[g] + lengths[g])
-            frame = pd.DataFrame({"shard": shard[part], "label": label[part], "size": size[part]}).groupby("shard").agg(low=("label", "min"), high=("label", "max"), least=("size", "min"), most=("size", "max"))
-            for target, low, high, least, most in frame.itertuples():
-                go = (shard[part] < target) & ((label[part] != low) | (label[part] != high)) & (size[part] * den >= least * num) & (size[part] * num <= most * den)
+        for g in np.flatnonzero(hot):
+            p = slice(starts[g], starts[g] + lengths[g])
+            one, many = x[p] != 0, x[p] == 0
+            frame = pd.DataFrame({"shard": shard[p], "label": label[p], "least": least[p], "most": most[p], "many": many})
+            frame = frame.groupby("shard").agg(low=("label", "min"), high=("label", "max"), least=("least", "min"), most=("most", "max"), many=("many", "max"))
+            for target, low, high, small, large, grouped in frame.itertuples():
+                # a class goes to later shards and to any that is grouped, a group to later grouped ones
+                ahead = shard[p] < target
+                ahead = np.where(one, ahead | grouped, ahead & grouped) & (shard[p] != target)
+                go = ahead & ((label[p] != low) | (label[p] != high)) & (most[p] * den >= small * num) & (least[p] * num <= large * den)
                 if go.any():
-                    yield pd.DataFrame({"x": x[part][go], "y": 0, "target": target, "need": np.int32(0)})
+                    yield pd.DataFrame({"x": x[p][go], "label": np.where(one, 0, label[p])[go], "shard": np.where(one, 0, shard[p])[go], "y": 0, "target": target, "need": np.int32(0)})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -268,12 +275,12 @@ def _matches(num: int, den: int):
             cut = int(np.searchsorted(batch["element"].to_numpy(), last))
             if cut or (kept and kept[0]["element"].iloc[0] != last):
                 done = pd.concat([*kept, batch.iloc[:cut]])
-                yield from pairs(*(done[c].to_numpy() for c in ("element", "size", "x", "label", "shard")))
+                yield from pairs(*(done[c].to_numpy() for c in ("element", "least", "most", "x", "label", "shard")))
                 kept = []
             kept.append(batch.iloc[cut:])
         if kept:
             done = pd.concat(kept)
-            yield from pairs(*(done[c].to_numpy() for c in ("element", "size", "x", "label", "shard")))
+            yield from pairs(*(done[c].to_numpy() for c in ("element", "least", "most", "x", "label", "shard")))
 
     return work
 
@@ -331,35 +338,47 @@ def link_classes(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     placed = written(texts.select("class", "z", shard.alias("shard")).groupBy("shard").applyInPandas(_in_shard(n, num, den, avoid), PLACED), "jaccard-placed")
     if shards == 1 and not splits:
         return placed.select("class", "label")
-    own = placed.select(F.explode("prefix").alias("element"), "size", F.xxhash64("class").alias("x"), F.xxhash64("label").alias("label"), "shard")
     if splits:
-        first = own.groupBy("element", "label").agg(F.min(F.struct("x", "size", "shard")).alias("_d")).select("element", "_d.size", "_d.x", "label", "_d.shard")
-        placed = written(_relabel(placed, _links(rows, placed, first, n, num, den)), "jaccard-placed")
-        own = placed.select(F.explode("prefix").alias("element"), "size", F.xxhash64("class").alias("x"), F.xxhash64("label").alias("label"), "shard")
-        several = own.groupBy("element").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("element")
-        own = own.join(several, "element", "left_semi")
+        apart = ~F.col("shard").between(0, shards - 1)  # shards that share a smallest element with others
+        ends = [F.min(F.struct("least", "x", "shard")).alias("_d")]
+        few = _postings(placed.where(apart)).groupBy("element", "label").agg(*ends).select("element", F.col("_d.least").alias("least"), F.col("_d.least").alias("most"), "_d.x", "label", "_d.shard")
+        placed = written(_relabel(placed, _links(rows, placed, few, n, num, den)), "jaccard-placed")
+        grouped = _postings(placed.where(apart)).groupBy("element", "label", "shard").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        own = _postings(placed.where(~apart)).unionByName(grouped.withColumn("x", F.lit(0).cast("long")))
+    else:
+        own = _postings(placed)
     return _relabel(placed, _links(rows, placed, own, n, num, den)).select("class", "label")
 
 
+def _postings(placed: DataFrame) -> DataFrame:
+    return placed.select(F.explode("prefix").alias("element"), F.col("size").alias("least"), F.col("size").alias("most"), F.xxhash64("class").alias("x"), F.xxhash64("label").alias("label"), "shard")
+
+
 def _links(rows: DataFrame, placed: DataFrame, own: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs of labels with a link between them, from the prefix elements ``own`` of classes."""
-    met = own.repartition("element").sortWithinPartitions("element", "size").mapInPandas(_matches(num, den), ROUTES)
-    routes = written(met.groupBy("x", "y", "target").agg(F.count("*").alias("_n"), F.min("need").alias("need")).where("_n >= need").select("x", "y", "target"), "jaccard-routes")
-    queries = routes.select("x", "target").distinct()
+    columns = ("element", "least", "most", "x", "label", "shard")
+    met = own.select(*columns).repartition("element").sortWithinPartitions("element", "least").mapInPandas(_matches(num, den), ROUTES)
+    routes = written(met.groupBy("x", "label", "shard", "y", "target").agg(F.count("*").alias("_n"), F.min("need").alias("need")).where("_n >= need").drop("_n", "need"), "jaccard-routes")
+    marks = placed.select("class", F.xxhash64("class").alias("c"), F.xxhash64("label").alias("l"), "shard", F.col("label").alias("_label"))
+    groups = routes.where("x = 0").select(F.col("label").alias("l"), "shard", "target").distinct()
+    queries = routes.where("x <> 0").select("x", "target").union(marks.join(groups, ["l", "shard"]).select(F.col("c").alias("x"), "target")).distinct()
+    queries = written(queries, "jaccard-queries")
     parts = queries.groupBy("target").agg(F.ceil(F.count("*") / QUERIES).alias("_parts"))
-    one = routes.where("y <> 0").select(F.col("y").alias("c"), "target").distinct()
-    whole = placed.select(F.xxhash64("class").alias("c"), F.col("shard").alias("target")).join(routes.where("y = 0").select("target").distinct(), "target", "left_semi").select("c", "target")
-    texts = rows.where("z is not null").select("class", "z").withColumn("c", F.xxhash64("class"))
+    one = routes.where("y <> 0").select(F.col("y").alias("c"), "target")
+    whole = marks.join(routes.where("y = 0").select(F.col("target").alias("shard")).distinct(), "shard", "left_semi").select("c", F.col("shard").alias("target"))
+    texts = rows.where("z is not null").select("class", "z")
     labels = placed.select("class", "label")
-    index = one.union(whole).distinct().join(texts, "c").join(labels, "class").join(parts, "target").select("class", "label", "z", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
-    asked = texts.dropDuplicates(["class"]).select(F.col("class").alias("_class"), F.col("z").alias("_z"), F.col("c").alias("x"))
-    asked = queries.join(asked, "x").join(labels.select(F.col("class").alias("_class"), F.col("label").alias("_label")), "_class").join(parts, "target")
+    index = one.union(whole).distinct().join(texts.withColumn("c", F.xxhash64("class")), "c").join(labels, "class").join(parts, "target")
+    index = index.select("class", "label", "z", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
+    asked = queries.join(marks.select(F.col("c").alias("x"), F.col("class").alias("_class"), "_label"), "x").join(parts, "target")
+    asked = asked.join(texts.select(F.col("class").alias("_class"), F.col("z").alias("_z")), "_class").dropDuplicates(["_class", "target"])
     asked = asked.select(F.col("_label").alias("label"), F.col("_z").alias("z"), F.col("target").alias("_target"), F.pmod(F.xxhash64("_class"), F.col("_parts")).alias("_part"))
     return index.groupBy("target", "part").cogroup(asked.groupBy("_target", "_part")).applyInPandas(_across(n, num, den), LINKS)
 
 
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Every row of ``docs`` as key, ``n_shingles``, ``class`` (null for an empty set) and ``component_id``."""
+    text_batches(docs.sparkSession)
     rows = written(shingle_sets(docs, key, text, n), "jaccard-rows")
     labels = link_classes(rows, n, num, den)
     known = written(rows.select("_key", "size", "class").join(labels, "class", "left"), "jaccard-known")

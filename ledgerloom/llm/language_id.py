@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import text_batches
+
 BUCKETS = 1 << 15
 #: The learned table has BUCKETS x languages numbers; more languages than this are an error.
 MAX_LANGUAGES = 256
@@ -59,6 +61,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages, sorted, and the BUCKETS x languages table of trigram probabilities, from all rows with text and language."""
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = own.mapInPandas(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = rows.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).limit(MAX_LANGUAGES + 1).collect()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.language_id import learned_from
-from ledgerloom.session import written
+from ledgerloom.session import text_batches, written
 
 #: Most labelled rows that the trees are fitted on.
 MAX_TRAIN = 20_000
@@ -149,6 +149,7 @@ def scorer(spark, trees: Trees):
 
 def classify(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
     """Key, FEATURES and score of every document; learned from labelled rows where ``may_learn`` (a function of the key column) holds."""
+    text_batches(docs.sparkSession)
     rows = written(docs.select(F.col(key), features(F.col(f"`{text}`")).alias("features")), "quality-features")
     known = labels.where(may_learn(F.col(key)) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label)).cast("double").alias("_label"))
     sample = known.orderBy(F.xxhash64("_key"), "_key").limit(max_train)

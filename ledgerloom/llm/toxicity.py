@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.language_id import learned_from
 from ledgerloom.llm.quality import Trees, fit
+from ledgerloom.session import text_batches
 
 #: Most labelled documents of a class that are learned from, and most characters of a class.
 MAX_TRAIN, MAX_TRAIN_CHARS = 3_000, 20_000_000
@@ -109,6 +110,7 @@ class Windows:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str, text: str) -> tuple[tuple[bytes, bytes] | None, Trees]:
+    text_batches(docs.sparkSession)
     known = labels.where(may_learn(F.col(key)) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label)).cast("int").alias("_label"))
     picked = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(MAX_TRAIN) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x MAX_TRAIN rows at most
