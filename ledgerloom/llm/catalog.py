@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, jaccard_join, language_id, line_dedup, mixing, quality, token_rollup, toxicity, vector_search
+from ledgerloom.llm import bpe, jaccard_join, language_id, line_dedup, mixing, quality, text_search, token_rollup, toxicity, vector_search
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_text_search": text_search.op2_text_search,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_vector_search": vector_search.op5_vector_search,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_quality": quality.op10_quality,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op7_token_counts": token_rollup.SQL, "op8_line_dedup": line_dedup.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_text_search": text_search.SQL, "op7_token_counts": token_rollup.SQL, "op8_line_dedup": line_dedup.SQL}
