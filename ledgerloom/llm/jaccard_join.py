@@ -51,6 +51,8 @@ SHARED = 4
 HOT = 200
 #: Queries that are searched together in a shard; more are dealt to several tasks.
 QUERIES = 4_000
+#: Classes whose ids are broadcast to pick their texts; more are joined by shuffle.
+BROADCAST_CLASSES = 1_000_000
 #: Longest lists of a query that are probed, not merged.
 LONG = 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -240,18 +242,20 @@ def _matches(num: int, den: int):
     def pairs(e, least, most, x, label, shard) -> Iterator[pd.DataFrame]:
         starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         lengths = np.diff(np.append(starts, len(e)))
-        hot = (lengths > HOT) | (np.logical_or.reduceat(x == 0, starts) & (lengths > 1))
+        hot = lengths > HOT
+        mixed = np.repeat(np.logical_or.reduceat(x == 0, starts), lengths)  # sizes are ranges there, so the order by least ends nothing
         lag, i = 1, np.flatnonzero(~np.repeat(hot, lengths))
         while len(i):
             i = i[i + lag < len(e)]
-            i = i[(e[i] == e[i + lag]) & (least[i + lag] * num <= least[i] * den)]
+            near = least[i + lag] * num <= most[i] * den
+            i = i[(e[i] == e[i + lag]) & (near | mixed[i])]
             a, b = i, i + lag
-            keep = (label[a] != label[b]) & (shard[a] != shard[b])
+            keep = (label[a] != label[b]) & (shard[a] != shard[b]) & (least[b] * num <= most[a] * den) & (least[a] * num <= most[b] * den)
             a, b = a[keep], b[keep]
-            swap = shard[a] > shard[b]
+            swap = np.where((x[a] == 0) == (x[b] == 0), shard[a] > shard[b], x[a] == 0)  # a class goes to a group
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             if len(a):
-                yield pd.DataFrame({"x": x[a], "label": 0, "shard": 0, "y": x[b], "target": shard[b], "need": np.minimum(SHARED, least[a]).astype(np.int32)})
+                yield pd.DataFrame({"x": x[a], "label": np.where(x[a] == 0, label[a], 0), "shard": np.where(x[a] == 0, shard[a], 0), "y": x[b], "target": shard[b], "need": np.minimum(SHARED, np.minimum(least[a], least[b])).astype(np.int32)})
             lag += 1
         for g in np.flatnonzero(hot):
             p = slice(starts[g], starts[g] + lengths[g])
@@ -366,13 +370,15 @@ def _links(rows: DataFrame, placed: DataFrame, own: DataFrame, n: int, num: int,
     parts = queries.groupBy("target").agg(F.ceil(F.count("*") / QUERIES).alias("_parts"))
     one = routes.where("y <> 0").select(F.col("y").alias("c"), "target")
     whole = marks.join(routes.where("y = 0").select(F.col("target").alias("shard")).distinct(), "shard", "left_semi").select("c", F.col("shard").alias("target"))
-    texts = rows.where("z is not null").select("class", "z")
-    labels = placed.select("class", "label")
-    index = one.union(whole).distinct().join(texts.withColumn("c", F.xxhash64("class")), "c").join(labels, "class").join(parts, "target")
-    index = index.select("class", "label", "z", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
-    asked = queries.join(marks.select(F.col("c").alias("x"), F.col("class").alias("_class"), "_label"), "x").join(parts, "target")
-    asked = asked.join(texts.select(F.col("class").alias("_class"), F.col("z").alias("_z")), "_class").dropDuplicates(["_class", "target"])
-    asked = asked.select(F.col("_label").alias("label"), F.col("_z").alias("z"), F.col("target").alias("_target"), F.pmod(F.xxhash64("_class"), F.col("_parts")).alias("_part"))
+    index = written(one.union(whole).distinct(), "jaccard-index")
+    needed = written(index.select("c").union(queries.select(F.col("x").alias("c"))).distinct(), "jaccard-needed")
+    small = F.broadcast(needed) if needed.count() <= BROADCAST_CLASSES else needed  # one long a row
+    texts = rows.where("z is not null").select("class", "z", F.xxhash64("class").alias("c")).join(small, "c", "left_semi").dropDuplicates(["class"])
+    texts = written(texts.join(marks.select("class", "_label"), "class"), "jaccard-texts")
+    spread = index.join(parts, "target").select("c", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
+    index = spread.join(texts.withColumnRenamed("_label", "label"), "c")
+    asked = queries.join(parts, "target").select(F.col("x").alias("c"), F.col("target").alias("_target"), F.pmod(F.xxhash64("x"), F.col("_parts")).alias("_part"))
+    asked = asked.join(texts.select("c", F.col("z").alias("_z"), "_label"), "c").select(F.col("_label").alias("label"), F.col("_z").alias("z"), "_target", "_part")
     return index.groupBy("target", "part").cogroup(asked.groupBy("_target", "_part")).applyInPandas(_across(n, num, den), LINKS)
 
 
