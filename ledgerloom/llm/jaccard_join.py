@@ -49,6 +49,8 @@ SAMPLE, SAMPLE_MOST, SEEN, LAST = 5_000, 200_000, 3, 100_000
 SHARED = 4
 #: A prefix element with more classes is hot.
 HOT = 200
+#: Rows of prefix elements that a task matches together.
+GATHER = 200_000
 #: Queries that are searched together in a shard; more are dealt to several tasks.
 QUERIES = 4_000
 #: Classes whose ids are broadcast to pick their texts; more are joined by shuffle.
@@ -271,20 +273,23 @@ def _matches(num: int, den: int):
                     yield pd.DataFrame({"x": x[p][go], "label": np.where(one, 0, label[p])[go], "shard": np.where(one, 0, shard[p])[go], "y": 0, "target": target, "need": np.int32(0)})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ("element", "least", "most", "x", "label", "shard")
         kept: list[pd.DataFrame] = []
+        held, enough = 0, GATHER
         for batch in batches:
-            if not len(batch):
+            kept.append(batch)
+            held += len(batch)
+            if held < enough:
                 continue
-            last = batch["element"].iloc[-1]
-            cut = int(np.searchsorted(batch["element"].to_numpy(), last))
-            if cut or (kept and kept[0]["element"].iloc[0] != last):
-                done = pd.concat([*kept, batch.iloc[:cut]])
-                yield from pairs(*(done[c].to_numpy() for c in ("element", "least", "most", "x", "label", "shard")))
-                kept = []
-            kept.append(batch.iloc[cut:])
-        if kept:
-            done = pd.concat(kept)
-            yield from pairs(*(done[c].to_numpy() for c in ("element", "least", "most", "x", "label", "shard")))
+            rows = pd.concat(kept)
+            cut = int(np.searchsorted(rows["element"].to_numpy(), rows["element"].iloc[-1]))  # the last element may go on
+            yield from pairs(*(rows[c].to_numpy()[:cut] for c in columns)) if cut else ()
+            kept = [rows.iloc[cut:]]
+            held = len(kept[0])
+            enough = max(GATHER, 2 * held)
+        if held:
+            rows = pd.concat(kept)
+            yield from pairs(*(rows[c].to_numpy() for c in columns))
 
     return work
 
