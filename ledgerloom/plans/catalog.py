@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, text
 from ledgerloom.operators import forecast, history, ledger, rules
+from ledgerloom.plans import document_queries
 from ledgerloom.plans.domain import UNTIL, view, with_views
 from ledgerloom.session import read_table, scratch_path
 from ledgerloom.streaming import incremental
@@ -305,3 +306,7 @@ def stream_latest_state(spark, d):
     path = scratch_path(spark, "stream-latest")
     incremental.run_available(stream, incremental.latest_sink(spark, path, ["id_documento"], ["id_normalizacion"]), f"{path}-checkpoint")
     return incremental.current(spark, path).select("id_documento", "id_normalizacion", "ok", "valor")
+
+
+QUERIES.update(document_queries.QUERIES)
+SQL.update(document_queries.SQL)

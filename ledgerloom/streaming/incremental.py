@@ -44,3 +44,15 @@ def current(spark: SparkSession, path: str, before: int | None = None) -> DataFr
 def run_available(stream: DataFrame, write, checkpoint: str) -> None:
     """Processes what is there, in batches, and ends."""
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def new_files(spark: SparkSession, path: str, delay: str = "7 days") -> DataFrame:
+    """A stream of files as they arrive, each path once within the delay; the checkpoint remembers what was read."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    return files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path"])
+
+
+def replay_sink(spark: SparkSession, path: str, key: str, order: list[str]):
+    """A foreachBatch function that keeps the last change of each document and path (``campo``) under ``path``, so that
+    documents.replay over current() gives the documents as of the last batch."""
+    return latest_sink(spark, path, [key, "campo"], order)
