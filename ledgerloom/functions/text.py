@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,6 +76,28 @@ def lenient_json(text: Column) -> Column:
     return F.try_element_at(F.filter(F.array(fenced, text, inner), lambda c: F.json_object_keys(c).isNotNull()), F.lit(1))
 
 
+def _balanced(text: str | None) -> list[str] | None:
+    if text is None:
+        return None
+    at = np.array([m.start() for m in re.finditer(r"[{}]", text)], dtype=np.int64)
+    step = np.array([1 if text[i] == "{" else -1 for i in at], dtype=np.int64)
+    run = np.cumsum(step)
+    depth = run - np.minimum(0, np.minimum.accumulate(run)) if len(run) else run  # a closing brace at depth 0 counts for nothing
+    opens, closes = at[(step > 0) & (depth == 1)], at[(step < 0) & (depth == 0) & (np.concatenate([[0], depth[:-1]]) == 1)]
+    return sorted((text[a : b + 1] for a, b in zip(opens, closes)), key=len, reverse=True)  # an open last block has no end
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def balanced_blocks(texts: pd.Series) -> pd.Series:
+    """All outermost balanced {...} blocks, longest first (equal lengths in the order of the text); NULL for NULL. Linear in the text."""
+    return texts.map(_balanced)
+
+
+def best_balanced_block(text: Column) -> Column:
+    """The longest balanced block; NULL if there is none."""
+    return F.try_element_at(balanced_blocks(text), F.lit(1))
+
+
 def truncated(text: Column) -> Column:
     """Whether an answer looks cut off: no closing brace, unbalanced braces or an odd number of quotes."""
     n = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))

@@ -46,3 +46,18 @@ def test_file_format(spark, ext, mime, want):
 def test_bands(spark):
     rows = spark.createDataFrame([(Decimal(x),) for x in ("100.10", "100.11", "100.50", "100.51")], "e decimal(18,2)")
     assert [r[0] for r in rows.select(numbers.bands(F.col("e"), F.lit(Decimal("100.00")))).collect()] == ["OK", "WARNING", "WARNING", "ERROR"]
+
+
+def test_balanced_blocks(spark):
+    cases = {
+        'a {"k":1} b {"long": {"x": 2}} c': ['{"long": {"x": 2}}', '{"k":1}'],
+        "} {a} { {b}": ["{a}"],
+        "{a}{b}": ["{a}", "{b}"],
+        "}}{": [],
+        "{{}": [],
+        "no braces": [],
+        "": [],
+        "{" * 3000 + "}" * 3000: ["{" * 3000 + "}" * 3000],
+    }
+    assert values(spark, text.balanced_blocks, [*cases, None]) == [*cases.values(), None]
+    assert values(spark, text.best_balanced_block, ["x {1} {22}", "none", None]) == ["{22}", None, None]
