@@ -271,6 +271,16 @@ def lenient_json_fields(spark, d):
     return e.select(F.col("event_id").alias("id"), F.get_json_object(text.lenient_json(answer), "$.k").cast("long").alias("k"), text.truncated(text.lenient_json(answer)).alias("cortado"))
 
 
+@query(r"""WITH t AS (SELECT event_id AS id, 'a ' || props || ' } {"outer": ' || props || '} {' AS x FROM events),
+b AS (SELECT id, regexp_extract_all(x, '\{(?:[^{}]|\{[^{}]*\})*\}') AS l FROM t)
+SELECT id, CAST(len(l) AS INTEGER) AS n, CASE WHEN len(l[2]) > len(l[1]) THEN l[2] ELSE l[1] END AS best FROM b""")
+def balanced_json_blocks(spark, d):
+    """The balanced blocks of a text with stray braces: their number and the longest."""
+    answer = F.concat(F.lit("a "), F.col("props"), F.lit(' } {"outer": '), F.col("props"), F.lit("} {"))
+    found = read_table(spark, d, "events").select(F.col("event_id").alias("id"), text.balanced_blocks(answer).alias("_b"))
+    return found.select("id", F.size("_b").alias("n"), F.try_element_at("_b", F.lit(1)).alias("best"))
+
+
 @query("""WITH p AS (SELECT quality AS y, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id))
 SELECT y AS clase, count(*) AS n, round(count(*) FILTER (p = y) / count(*), 6) AS recall, round(count(*) FILTER (p = y) / nullif((SELECT count(*) FROM p q WHERE q.p = y0.y), 0), 6) AS precision FROM p y0 GROUP BY y""")
 def class_eval(spark, d):
