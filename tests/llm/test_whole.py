@@ -1,0 +1,28 @@
+"""Results that were once cut, against brute force."""
+
+import re
+
+import duckdb
+
+from ledgerloom.llm import text_search
+
+
+def test_search_asks_for_every_term(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    whole, cuts = re.subn(r"\n +QUALIFY row_number\(\) OVER \(PARTITION BY doc_id [^\n]*<= \d+\),", "),", text_search.SQL)
+    assert cuts == 1
+    got = text_search.op2_text_search(spark, sf).select("query_id", "rank", "doc_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(whole).fetchall())
+
+
+def test_search_finds_what_only_weak_terms_share(spark, monkeypatch):
+    monkeypatch.setattr(text_search, "SHARD", 7)
+    monkeypatch.setattr(text_search, "MOST_TERMS", 20)
+    telling = " ".join(f"t{i} t{i}" for i in range(16))
+    rows = [(0, f"{telling} weak"), (1, telling), (2, "weak"), *((10 + i, f"weak filler{i}") for i in range(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r["doc_id"] for r in text_search.search(docs, docs.where("doc_id = 0"), k=30).orderBy("rank").collect()]
+    assert found[:2] == [1, 2] and set(found) == {i for i, _ in rows} - {0}
+    cut = text_search.search(docs, docs.where("doc_id = 0"), terms=16, k=30).collect()
+    assert [r["doc_id"] for r in cut] == [1]
