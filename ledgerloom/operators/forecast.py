@@ -87,8 +87,9 @@ def forecast(filled: DataFrame, keys: list[str], month: str, value: str) -> Data
     return filled.select(*keys, month, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(_fit(keys, month, value), schema)
 
 
-def winner_share(rows: DataFrame) -> DataFrame:
-    """Series won by each model, and their share."""
-    won = rows.where("paso = 1").groupBy("modelo").agg(F.count("*").alias("n"))
-    total = won.agg(F.collect_list(F.struct("modelo", "n")).alias("_w"), F.sum("n").alias("_t"))
-    return total.select("_t", F.inline("_w")).select("modelo", "n", F.round(100 * F.col("n") / F.col("_t"), 2).alias("porcentaje"))
+def winner_share(rows: DataFrame, by: list[str] | None = None, counted: str = "paso = 1") -> DataFrame:
+    """Series won by each model, and their share of all or of the groups ``by``; ``counted`` picks one row a series."""
+    by = by or []
+    won = rows.where(counted).groupBy(*by, "modelo").agg(F.count("*").alias("n"))
+    total = won.groupBy(*by).agg(F.collect_list(F.struct("modelo", "n")).alias("_w"), F.sum("n").alias("_t"))
+    return total.select(*by, "_t", F.inline("_w")).select(*by, "modelo", "n", F.round(100 * F.col("n") / F.col("_t"), 2).alias("porcentaje"))

@@ -297,15 +297,21 @@ def warning_frequency(spark, d):
     return view(spark, d, "hist").where("not ok").groupBy(F.col("origen").alias("codigo")).agg(F.count("*").alias("n"))
 
 
+def _forecast(spark, d):
+    levels = ["nivel", *KEYS]
+    return forecast.forecast(ledger.gap_filled(ledger.spend_levels(ledger.monthly_spend(_ledger(spark, d))), levels, "mes", "gasto"), levels, "mes", "gasto")
+
+
 @query()
 def forecast_rows(spark, d):
-    """Six months of forecast per series of category and label, by the model that wins on the holdout."""
-    return forecast.forecast(_filled(spark, d), KEYS, "mes", "gasto")
+    """Six months of forecast of the total, of every category and of every label, by the model that wins on the holdout."""
+    return _forecast(spark, d)
 
 
 @query()
 def winner_share(spark, d):
-    return forecast.winner_share(forecast.forecast(_filled(spark, d), KEYS, "mes", "gasto"))
+    """The series that each model wins, by level; the total and categories that cannot be trained count as a model of their own."""
+    return forecast.winner_share(_forecast(spark, d), ["nivel"], "paso = 1 or paso = 0 and nivel <> 'etiqueta'")
 
 
 @query(with_views("SELECT id_documento, id_normalizacion, ok, valor FROM hist QUALIFY row_number() OVER (PARTITION BY id_documento ORDER BY id_normalizacion DESC) = 1", "hist"))
