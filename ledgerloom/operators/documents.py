@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import numbers, text
+from ledgerloom.session import text_batches
 
 #: A document as it is read: all scalars are text.
 RAW = """empresa STRING, fecha STRING,
@@ -201,64 +203,129 @@ def path_tokens(path: str | None) -> list[str | int]:
     return [name or int(index) for name, index in _STEP.findall(path)]
 
 
-def put(tree, tokens: list[str | int], value) -> bool:
-    """Sets the value at a path and makes what lacks on the way; false where a scalar is in the way or a position is far off."""
+def put(tree, tokens: list[str | int], value, pad: bool = False, replace: bool = False) -> bool:
+    """Sets the value at a path and makes what lacks on the way; false where a list is in the way of a name or the like.
+
+    With ``pad`` a list grows to any position, else only by one; with ``replace`` a scalar in the way gives way, else the result is false.
+    """
     for n, (step, after) in enumerate(zip(tokens, [*tokens[1:], None], strict=True)):
         last = n == len(tokens) - 1
+        empty = list if isinstance(after, int) else dict
         if isinstance(step, int) != isinstance(tree, list) or not isinstance(tree, (list, dict)):
             return False
         if isinstance(step, int):
-            if step > len(tree):
+            if step > len(tree) and not pad:
                 return False
-            if step == len(tree):
-                tree.append(None)
+            tree.extend(None if last else empty() for _ in range(len(tree), step + 1))
         if last:
             tree[step] = value
         else:
-            if (tree[step] if isinstance(step, int) else tree.get(step)) is None:
-                tree[step] = [] if isinstance(after, int) else {}
+            found = tree[step] if isinstance(step, int) else tree.get(step)
+            if found is None or replace and not isinstance(found, (list, dict)):
+                tree[step] = empty()
             tree = tree[step]
     return True
 
 
-@F.pandas_udf(T.StructType([T.StructField("documento", T.StringType()), T.StructField("avisos", T.ArrayType(T.StringType()))]))
-def _replayed(documents: pd.Series, changes: pd.Series) -> pd.DataFrame:
-    out = []
-    for document, todo in zip(documents, changes, strict=True):
+class _Replayed:
+    """A document while its changes come in."""
+
+    def __init__(self, key, document: str | None):
+        self.key, self.document, self.said = key, document, []
         try:
             tree = json.loads(document) if document else {}
         except ValueError:
             tree = {}
-        tree, said = tree if isinstance(tree, dict) else {}, []
-        for change in todo if todo is not None else []:
-            tokens = path_tokens(change["campo"])
-            try:
-                value = json.loads(change["valor"]) if change["valor"] is not None else None
-            except ValueError:
-                value = change["valor"]
-            if not tokens:
-                said.append(f"CAMPO_CAMBIO_INVALIDO:{change['campo']}")
-            elif not put(tree, tokens, value):
-                said.append(f"CAMBIO_NO_APLICADO:{change['campo']}")
-        out.append((json.dumps(tree, ensure_ascii=False, separators=(",", ":")), said))
-    return pd.DataFrame(out, columns=["documento", "avisos"])
-
-
-def replay(documents: DataFrame, changes: DataFrame, key: str, doc: str, order: list[str], path: str = "campo", value: str = "valor") -> DataFrame:
-    """Documents (JSON text) with their changes applied in order, and ``avisos``.
-
-    Of several changes of one path the last counts, so what is gathered for a document is bounded by its paths, not by its
-    history. Documents without changes stay as they are.
+        self.tree, self.changed = tree if isinstance(tree, dict) else {}, False
+
+    def change(self, path: str, value: str | None, replace: bool) -> None:
+        self.changed = True
+        tokens = path_tokens(path)
+        try:
+            value = json.loads(value) if value is not None else None
+        except ValueError:
+            pass
+        if not tokens:
+            self.said.append(f"CAMPO_CAMBIO_INVALIDO:{path}")
+        elif not put(self.tree, tokens, value, True, replace):
+            self.said.append(f"CAMBIO_NO_APLICADO:{path}")
+
+    def row(self) -> tuple:
+        return self.key, self.document, json.dumps(self.tree, ensure_ascii=False, separators=(",", ":")), self.said
+
+
+def _fold(replace: bool):
+    """Sorted rows (key, is a change, document or path and value) -> a row a document that has changes."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, held, key = ["_key", "_before", "_after", "_said"], [], None
+        for batch in batches:
+            out = []
+            for k, is_change, document, path, value in zip(*(batch[c] for c in ("_key", "_change", "_document", "_path", "_value")), strict=True):
+                if not held or k != key:
+                    out += [h.row() for h in held if h.changed]
+                    held, key = [], k
+                if is_change:
+                    for h in held:
+                        h.change(path, value, replace)
+                else:
+                    held.append(_Replayed(k, document))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([h.row() for h in held if h.changed], columns=columns)
+
+    return work
+
+
+def replay(documents: DataFrame, changes: DataFrame, key: str, doc: str, order: list[str], path: str = "campo", value: str = "valor", replace: bool = False) -> DataFrame:
+    """Documents (JSON text) with all of their changes applied in order, and ``avisos``, one for each change that fails.
+
+    Rows are dealt by document and sorted, and folded as they come, so a history is never held. Lists grow to the position that
+    a change names. A scalar in the way of a path fails the change, or is replaced with ``replace``. Documents without
+    changes stay as they are.
     """
-    last = changes.groupBy(key, F.col(path).alias("campo")).agg(F.max_by(F.struct(F.col(value).alias("valor"), *order), F.struct(*order)).alias("_l"))
-    todo = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*(F.col(f"_l.{o}").alias(o) for o in order), "campo", F.col("_l.valor").alias("valor")))).alias("_todo"))
-    joined = documents.join(todo, key, "left")
-    run = joined.withColumn("_r", F.when(F.col("_todo").isNotNull(), _replayed(F.col(doc), F.col("_todo"))))
-    return run.select(*(F.coalesce("_r.documento", doc).alias(doc) if c == doc else F.col(c) for c in documents.columns), F.coalesce("_r.avisos", F.array().cast("array<string>")).alias("avisos"))
+    text_batches(documents.sparkSession)
+    kind, none = documents.schema[key].dataType, F.lit(None).cast("string")
+    sort = [f"_o{i}" for i in range(len(order))]
+    todo = changes.select(F.col(key).cast(kind).alias("_key"), F.lit(True).alias("_change"), none.alias("_document"), F.col(path).alias("_path"), F.col(value).alias("_value"), *(F.col(o).alias(n) for o, n in zip(order, sort, strict=True)))
+    each = documents.select(F.col(key).alias("_key"), F.lit(False).alias("_change"), F.col(doc).alias("_document")).distinct()
+    rows = todo.unionByName(each, allowMissingColumns=True).where("_key is not null").repartition("_key").sortWithinPartitions("_key", "_change", *sort, "_path", "_value")
+    schema = T.StructType([T.StructField("_key", kind), T.StructField("_before", T.StringType()), T.StructField("_after", T.StringType()), T.StructField("_said", T.ArrayType(T.StringType()))])
+    done = rows.select("_key", "_change", "_document", "_path", "_value").mapInPandas(_fold(replace), schema)
+    joined = documents.join(done, (F.col(key) == F.col("_key")) & F.col(doc).eqNullSafe(F.col("_before")), "left")
+    return joined.select(*(F.coalesce("_after", doc).alias(doc) if c == doc else F.col(c) for c in documents.columns), F.coalesce("_said", F.array().cast("array<string>")).alias("avisos"))
+
+
+def _leaves(tree, path: str = "") -> Iterator[tuple[str, str]]:
+    """The paths of a JSON value's leaves and their texts."""
+    if tree and isinstance(tree, (dict, list)):
+        for k, v in tree.items() if isinstance(tree, dict) else enumerate(tree):
+            yield from _leaves(v, f"{path}[{k}]" if isinstance(tree, list) else f"{path}.{k}" if path else k)
+    elif tree is not None:
+        yield path, tree if isinstance(tree, str) else json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("campo", "anterior", "nuevo")])))
+def _changed(before: pd.Series, after: pd.Series) -> pd.Series:
+    def leaves(document: str | None) -> dict[str, str]:
+        try:
+            return dict(_leaves(json.loads(document))) if document else {}
+        except ValueError:
+            return {}
+
+    out = []
+    for a, b in zip(map(leaves, before), map(leaves, after), strict=True):
+        out.append([{"campo": p, "anterior": a.get(p), "nuevo": b.get(p)} for p in {**a, **b} if a.get(p) != b.get(p)])
+    return pd.Series(out, dtype=object)
+
 
+def differences(pairs: DataFrame, key: str, before: str, after: str, paths: list[str] | None = None) -> DataFrame:
+    """One row per path whose value differs between two JSON texts: key, campo, anterior, nuevo.
 
-def differences(pairs: DataFrame, key: str, before: str, after: str, paths: list[str]) -> DataFrame:
-    """One row per path whose value differs between two JSON texts: key, campo, anterior, nuevo. Lists are compared whole."""
+    Without ``paths``, those of the leaves of either text, also within lists. Lists at given paths are compared whole.
+    """
+    if paths is None:
+        text_batches(pairs.sparkSession)
+        return pairs.select(key, F.inline(_changed(before, after)))
     leaf = lambda p: F.struct(F.lit(p).alias("campo"), F.get_json_object(before, f"$.{p}").alias("anterior"), F.get_json_object(after, f"$.{p}").alias("nuevo"))
     return pairs.select(key, F.inline(F.array(*map(leaf, paths)))).where("not (anterior <=> nuevo)")
 

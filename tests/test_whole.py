@@ -1,9 +1,10 @@
 """Results that were once cut, against brute force."""
 
 import datetime
+import json
 from collections import Counter, defaultdict
 
-from ledgerloom.operators import forecast
+from ledgerloom.operators import documents, forecast
 from ledgerloom.plans import catalog
 
 
@@ -33,3 +34,20 @@ def test_forecast_has_three_levels(spark, sf):
     models = Counter((r["nivel"], r["modelo"]) for r in rows if r["paso"] == 1 or r["paso"] == 0 and r["nivel"] != "etiqueta")
     share = catalog.QUERIES["winner_share"](spark, sf).collect()
     assert {(r["nivel"], r["modelo"]): (r["n"], r["porcentaje"]) for r in share} == {k: (n, round(100 * n / wins[k[0]], 2)) for k, n in models.items()}
+
+
+def test_replay_applies_every_change_in_order(spark):
+    docs = spark.createDataFrame([(1, "{}", "a"), (2, '{"items":[]}', "b"), (3, '{"a":1}', "c"), (4, None, "d"), (None, "{}", "e")], "id int, doc string, other string")
+    rows = [(1, 1, "items[0].x", "1"), (1, 2, "items[1].x", "2"), (1, 3, "items[0].x", "3"), (2, 1, "items[2].x", "1"), (2, 2, "items[4]", "5"), (2, 3, "items.y", "6"), (2, 4, "items.y", "7"), (3, 1, "a.b", "1")]
+    changes = spark.createDataFrame(rows, "id int, n int, campo string, valor string")
+    got = {r["other"]: r for r in documents.replay(docs, changes, "id", "doc", ["n"]).collect()}
+    assert json.loads(got["a"]["doc"]) == {"items": [{"x": 3}, {"x": 2}]} and got["a"]["avisos"] == []
+    assert json.loads(got["b"]["doc"]) == {"items": [{}, {}, {"x": 1}, None, 5]} and got["b"]["avisos"] == ["CAMBIO_NO_APLICADO:items.y"] * 2
+    assert got["d"]["doc"] is None and got["e"]["doc"] == "{}" and len(got) == 5
+    replaced = documents.replay(docs, changes, "id", "doc", ["n"], replace=True).where("id = 3").first()
+    assert json.loads(replaced["doc"]) == {"a": {"b": 1}} and replaced["avisos"] == []
+
+
+def test_differences_of_all_paths(spark):
+    pairs = spark.createDataFrame([(1, '{"a":{"b":1},"l":[{"x":"s"}]}', '{"a":{"b":2},"l":[{"x":"s"},{"x":"t"}]}'), (2, None, '{"a":1}'), (3, "{}", "{}")], "id int, x string, y string")
+    assert sorted(map(tuple, documents.differences(pairs, "id", "x", "y").collect())) == [(1, "a.b", "1", "2"), (1, "l[1].x", None, "t"), (2, "a", None, "1")]
