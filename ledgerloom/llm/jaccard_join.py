@@ -257,7 +257,7 @@ def _matches(num: int, den: int):
             swap = np.where((x[a] == 0) == (x[b] == 0), shard[a] > shard[b], x[a] == 0)  # a class goes to a group
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             if len(a):
-                yield pd.DataFrame({"x": x[a], "label": np.where(x[a] == 0, label[a], 0), "shard": np.where(x[a] == 0, shard[a], 0), "y": x[b], "target": shard[b], "need": np.minimum(SHARED, np.minimum(least[a], least[b])).astype(np.int32)})
+                yield pd.DataFrame({"x": x[a], "label": np.where(x[a] == 0, label[a], 0), "shard": np.where(x[a] == 0, shard[a], 0), "y": x[b], "target": shard[b], "need": np.minimum(SHARED, -(-num * np.minimum(least[a], least[b]) // den)).astype(np.int32)})
             lag += 1
         for g in np.flatnonzero(hot):
             p = slice(starts[g], starts[g] + lengths[g])
