@@ -36,6 +36,8 @@ from ledgerloom.session import text_batches
 
 #: Most labelled documents of a class that are learned from, and most characters of a class.
 MAX_TRAIN, MAX_TRAIN_CHARS = 3_000, 20_000_000
+#: A text's share of these characters is one in so many; what is beyond it is not learned from.
+SHARES = 100
 WORDS = 4  # of a window
 BASE_BYTES, TOXIC_BYTES = 12_000, 6_000
 MIN_DOCS, MIN_ODDS, MIN_RATIO = 4, 1.2, 24.0
@@ -118,7 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str, t
     rows = (
         docs.select(F.col(key).alias("_own"), F.col(text).alias("_text"))
         .join(sample, F.col("_own") == F.col("_key"))
-        .select("_key", "_label", F.coalesce("_text", F.lit("")).alias("_text"))
+        .select("_key", "_label", F.substring(F.coalesce("_text", F.lit("")), 1, MAX_TRAIN_CHARS // SHARES).alias("_text"))
         .withColumn("_sum", F.sum(F.length("_text")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.col("_sum") <= MAX_TRAIN_CHARS)
         .select("_label", "_text")

@@ -6,7 +6,7 @@ import re
 import duckdb
 import pandas as pd
 
-from ledgerloom.llm import jaccard_join, text_search
+from ledgerloom.llm import jaccard_join, text_search, toxicity
 
 
 def test_search_asks_for_every_term(spark, sf):
@@ -45,3 +45,12 @@ def test_small_sets_meet_at_half(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(sorted(w))) for i, w in enumerate(sets)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_documents(docs, n=1, num=50, den=100).collect()}
     assert [got[i] for i in range(len(sets))] == label and len(set(label)) < len(sets)
+
+
+def test_a_long_text_leaves_its_class(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_CHARS", 20_000)
+    rows = [(i, "vile awful hateful words " * (2_000 if i == 1 else 4) if i % 2 else f"kind calm friendly words {i} " * 4) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (0, 0), (2, 0)], "doc_id long, toxic int")
+    contents, _ = toxicity.learn(docs, labels, "toxic", lambda key: key.isNotNull(), "doc_id", "text")
+    assert contents is not None
