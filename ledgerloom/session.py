@@ -23,17 +23,22 @@ def local_session(app: str = "ledgerloom", cpus: str = "8", memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where it is unset, as in tests, a local temporary folder takes its place.
+    Only where both are unset and the session is local, as in tests, a temporary folder becomes the context's checkpoint folder.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    context = spark.sparkContext
+    found, own = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if found:
+        if own.isEmpty():
+            context.setCheckpointDir(found)
+        return found
+    if own.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        own = context._jsc.sc().getCheckpointDir()
+    return own.get()
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -50,10 +55,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return _table(df, scratch_path(df.sparkSession, name))
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder that go when the block ends; what is read after it must not need them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        table = _table(df, path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        """Deletes one of the tables early."""
+        _, path = self.paths.pop(id(table))
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """The table, which no longer goes with the others."""
+        self.paths.pop(id(table))
+        return table
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for table, _ in list(self.paths.values()):
+            self.drop(table)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
