@@ -1,33 +1,36 @@
 """N-gram Jaccard join by T-occurrence search.
 
 A document's set holds 64-bit hashes of its distinct word shingles. Two sets of sizes a and b with a Jaccard
-similarity of at least t share at least T = ceil(t / (1 + t) * (a + b)) elements.
+similarity of at least t share at least T = ceil(t / (1 + t) * (a + b)) elements, so at most D elements stand in one of them only.
 
 1. Documents with equal sets are one class, so exact copies cost nothing further. A class's text is kept
    compressed, and its set is made from it where it is needed; that is a third of the set's bytes.
-2. Classes are dealt to shards by their smallest element, large groups of one smallest element are split by a hash
-   of the class. A shard has an inverted index; every class of it is a query against it.
-   This joins most near copies, as similar sets mostly share their smallest element.
-3. Whatever the shards, similar sets share l elements among the first a - ceil(t * a) + l of either
-   in any common order (prefix filter). The order is by hash, with the elements that are frequent in a sample
-   last (the sample only makes it faster). Classes of different components and similar sizes that share that many
-   prefix elements are searched: one goes as a query to the shard of the other. Groups of an element that are HOT go to
-   all shards with another component, without counting. Where a group of smallest elements was split, one delegate a
-   component of its shards goes first, and the components are joined; then these shards stand in the groups of an
-   element as one row a component, so a large group of near copies is neither gathered nor searched in pairs.
-4. Components of the links come from rounds of minima over neighbours and labels, written to the shared folder.
+2. A class signs parts of its set: elements are dealt to P > D parts by hash, and similar sets have equal parts but for D. Parts
+   are ranked by their elements that are not frequent in a sample (the sample only makes it faster); the first
+   of the equal parts stands among the D + 1 first of either set, so a class signs only these. In small sets every element is
+   a part. P depends on the size, in ranges of sizes; a class signs for the range of every size of a smaller set that may be similar.
+3. Classes that share a signature are candidates. A task keeps the first class of a signature and notes later classes as that one's
+   neighbours, so a signature leaves a task once, however many copies there are; across tasks all go to the smallest class.
+   A class and its neighbours are joined in one shard, by an inverted index in which each is a query. Components of these links
+   become labels.
+4. Then every signature that still has several labels is settled: of two labels the one with fewer classes is searched in
+   the index of the other's classes, in shards of a bounded size; a signature with very many labels is joined in blocks, each
+   with each. Nothing is left out, so the result is exact whatever step 3 found.
+5. Components of the links come from rounds of minima over neighbours and labels, written to the shared folder. All tables
+   but those that the result reads are deleted.
 
 Search in a shard (DivideSkip): the query's LONG longest lists are set aside; its other lists are merged, and a
 class that stands in at least T - L of them (L lists set aside) is probed by binary search in the L long ones.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and are components of
-their own; a text with fewer words than a shingle has one shingle, all its words; rows are kept one for one, also
-repeated ones; a component's id is the smallest key in it, null only where all keys are null; an
-empty table gives an empty table.
+their own; a text with fewer words than a shingle has one shingle, all its words; texts of any length are taken whole; rows are kept one
+for one, also repeated ones; a component's id is the smallest key in it, null only where all keys are null; other columns,
+whatever their names, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,26 +38,28 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import text_batches, written
-
-#: Elements that a shard has, on average; a group of one smallest element is split beyond a quarter of it.
-SHARD = 1_000_000
-#: Classes of the sample for the order: SAMPLE and one in fifty, SAMPLE_MOST at most; elements in SEEN of them are frequent, the LAST most frequent count.
-SAMPLE, SAMPLE_MOST, SEEN, LAST = 5_000, 200_000, 3, 100_000
-#: Prefix elements that two sets must share to be searched (fewer in smaller sets).
-SHARED = 4
-#: A prefix element with more classes is hot.
-HOT = 200
-#: Rows of prefix elements that a task matches together.
-GATHER = 200_000
-#: Queries that are searched together in a shard; more are dealt to several tasks.
-QUERIES = 4_000
+from ledgerloom.session import Scratch, text_batches, written
+
+#: Classes of the sample for the order: SAMPLE_MOST at most; elements in SEEN of them are frequent, the LAST most frequent count.
+SAMPLE_MOST, SEEN, LAST = 20_000, 3, 100_000
+#: Neighbours that a class takes in a task; then a later class takes over.
+NEIGHBOURS = 500
+#: Candidates of a shard.
+SHARD = 1_500
+#: Labels of a signature that are searched pair by pair; with more, its classes are joined in blocks.
+LABELS = 30
 #: Classes whose ids are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_CLASSES = 1_000_000
+#: Signatures, and classes, that a task remembers; beyond them it starts anew.
+REMEMBERED = 600_000
+#: Ranges of sizes: each ends before the next number, half as large again.
+EDGES = [1]
+while EDGES[-1] < 1 << 40:
+    EDGES.append(max(EDGES[-1] + 1, EDGES[-1] * 3 // 2))
 #: Longest lists of a query that are probed, not merged.
 LONG = 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -99,29 +104,89 @@ def _unpack(packed, n: int) -> list[np.ndarray]:
     return [shingles(unpack.decompress(z).decode(), n) for z in packed]
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``_key``, ``size`` of the set, ``class`` (a 128-bit hash of the set, null if empty), ``home`` (its smallest
-    element) and the packed text ``z``, null where the task has met the class before."""
-    schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), T.StructField("size", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("home", T.LongType()), T.StructField("z", T.BinaryType())])
+def signatures(s: np.ndarray, avoid: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the parts that the set signs; sets that are similar but not equal share one at least."""
+    size, out = len(s), []
+    if not size:
+        return s
+    mixed = _final(s.view(np.uint64) ^ _MIX[0])
+    at = np.minimum(np.searchsorted(avoid, s), max(0, len(avoid) - 1))
+    rare = avoid[at] != s if len(avoid) else np.ones(size, dtype=bool)
+    own = bisect_right(EDGES, size) - 1
+    for w in range(bisect_right(EDGES, -(-num * size // den)) - 1, own + 1):
+        high = EDGES[w + 1] - 1  # largest size of the smaller set
+        apart = (size + (size * den // num if w == own else high)) * (den - num) // (num + den)
+        if not apart:
+            continue  # only an equal set is similar
+        most = (high + high * den // num) * (den - num) // (num + den)
+        parts = most + 1 + (most + 1) // 4
+        if high < 3 * parts:
+            first = np.lexsort((s, ~rare))[: apart + 1]
+            signed = mixed[first]
+        else:
+            part = (mixed % np.uint64(parts)).astype(np.int64)
+            first = np.argsort(-np.bincount(part, weights=rare, minlength=parts), kind="stable")[: apart + 1]
+            sums = np.zeros(parts, dtype=np.uint64)
+            np.add.at(sums, part, mixed)
+            signed = sums[first] + first.astype(np.uint64) * _MIX[2]
+        out.append(_final(signed * _MIX[1] + np.uint64(w + 1)))
+    return np.unique(np.concatenate(out).view(np.int64)) if out else s[:0]
+
+
+ROWS = [T.StructField("size", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("x", T.LongType()), T.StructField("z", T.BinaryType())]
+ROWS += [T.StructField("fresh", T.ArrayType(T.LongType())), T.StructField("signed", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.LongType()))]
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, avoid) -> DataFrame:
+    """``_key``, ``size`` of the set, ``class`` (a 128-bit hash of the set, null if empty), and where the task has not met the class before:
+    ``x`` (64 bits of the class), the packed text ``z``, the signatures (``fresh``: those new to the task, ``signed``: the others)
+    and ``near``, the classes of the task that share one of them."""
+    schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), *ROWS])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, met = zstandard.ZstdCompressor(level=1), set()
+        first: dict[int, int] = {}
+        taken: dict[int, int] = {}
         for batch in batches:
             rows: list[tuple] = []
             for t in batch.column(1).to_pylist():
                 s = shingles(t, n)
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None, None, None))
                     continue
                 c = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((len(s), c, int(s[0]), None if c in met else _pack(t, pack)))
+                if c in met:
+                    rows.append((len(s), c, None, None, None, None, None))
+                    continue
+                if len(met) > REMEMBERED:
+                    met.clear()
+                if len(first) > REMEMBERED:
+                    first, taken = {}, {}
                 met.add(c)
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=schema.names)
+                x = int.from_bytes(c[:8], "little", signed=True)
+                fresh, signed, near = [], [], set()
+                for g in signatures(s, avoid.value, num, den).tolist():
+                    other = first.get(g)
+                    if other is None:
+                        first[g] = x
+                        fresh.append(g)
+                        continue
+                    signed.append(g)
+                    near.add(other)
+                    if taken.get(other, 0) >= NEIGHBOURS:
+                        first[g] = x
+                for other in near:
+                    taken[other] = taken.get(other, 0) + 1
+                rows.append((len(s), c, x, _pack(t, pack), fresh, signed, sorted(near - {x})))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(ROWS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(columns, KINDS, strict=True))], names=schema.names)
 
     return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInArrow(sets, schema)
 
 
+KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+
+
 def needed(a, b, num: int, den: int):
     """Elements that sets of sizes a and b must share: ceil(num / (num + den) * (a + b))."""
     return -((-num * (a + b)) // (num + den))
@@ -198,39 +263,30 @@ def join_shard(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return label
 
 
-PLACED = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("label", T.BinaryType()), T.StructField("shard", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-#: A query (class x, or with x = 0 the classes of a component in a shard) and what it is searched in (class y, or with y = 0 all) of a shard.
-ROUTES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("x", "label", "shard", "y", "target")), T.StructField("need", T.IntegerType())])
-
 
-def _prefix(s: np.ndarray, avoid: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first elements of the set in the common order: by hash, those to avoid last."""
-    least = -((-num * len(s)) // den)
-    at = np.minimum(np.searchsorted(avoid, s), max(0, len(avoid) - 1))
-    last = avoid[at] == s if len(avoid) else np.zeros(len(s), dtype=bool)
-    return np.concatenate([s[~last], s[last]])[: len(s) - least + min(SHARED, least)]
 
+def _within(n: int, num: int, den: int):
+    """Rows (class, z) of a shard -> a link from each class to the smallest of its component in the shard."""
 
-def _in_shard(n: int, num: int, den: int, avoid):
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("class").sort_values("class", ignore_index=True)
-        sets = _unpack(rows["z"], n)
-        names = rows["class"].to_numpy()
-        return pd.DataFrame({"class": names, "label": names[join_shard(sets, num, den)], "shard": rows["shard"], "size": [len(s) for s in sets], "prefix": [_prefix(s, avoid.value, num, den) for s in sets]})
+        names, low = rows["class"].to_numpy(), join_shard(_unpack(rows["z"], n), num, den)
+        linked = low != np.arange(len(names))
+        return pd.DataFrame({"a": names[linked], "b": names[low[linked]]})
 
     return work
 
 
 def _across(n: int, num: int, den: int):
+    """Classes of an index and queries, each with its label -> links between their labels."""
+
     def work(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = set()
         if len(index) and len(queries):
-            index = index.drop_duplicates("class")
-            shard, label = Shard(_unpack(index["z"], n)), index["label"].to_numpy()
-            names, codes = np.unique(label, return_inverse=True)
+            shard, (names, codes) = Shard(_unpack(index["z"], n)), np.unique(index["label"].to_numpy(), return_inverse=True)
             code_of = {name: i for i, name in enumerate(names)}
-            for query, a in zip(_unpack(queries["z"], n), queries["label"], strict=True):
+            for query, a in zip(_unpack(queries["_z"], n), queries["_label"], strict=True):
                 found = shard.search(query, num, den, skip=codes == code_of[a] if a in code_of else None)
                 out.update((a, names[b]) for b in np.unique(codes[found]))
         return pd.DataFrame(sorted(out), columns=["a", "b"])
@@ -238,163 +294,138 @@ def _across(n: int, num: int, den: int):
     return work
 
 
-def _matches(num: int, den: int):
-    """Rows (element, least, most, x, label, shard), sorted by element and least -> ROUTES. least and most are sizes; they differ where x is 0."""
-
-    def pairs(e, least, most, x, label, shard) -> Iterator[pd.DataFrame]:
-        starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-        lengths = np.diff(np.append(starts, len(e)))
-        hot = lengths > HOT
-        mixed = np.repeat(np.logical_or.reduceat(x == 0, starts), lengths)  # sizes are ranges there, so the order by least ends nothing
-        lag, i = 1, np.flatnonzero(~np.repeat(hot, lengths))
-        while len(i):
-            i = i[i + lag < len(e)]
-            near = least[i + lag] * num <= most[i] * den
-            i = i[(e[i] == e[i + lag]) & (near | mixed[i])]
-            a, b = i, i + lag
-            keep = (label[a] != label[b]) & (shard[a] != shard[b]) & (least[b] * num <= most[a] * den) & (least[a] * num <= most[b] * den)
-            a, b = a[keep], b[keep]
-            swap = np.where((x[a] == 0) == (x[b] == 0), shard[a] > shard[b], x[a] == 0)  # a class goes to a group
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            if len(a):
-                yield pd.DataFrame({"x": x[a], "label": np.where(x[a] == 0, label[a], 0), "shard": np.where(x[a] == 0, shard[a], 0), "y": x[b], "target": shard[b], "need": np.minimum(SHARED, -(-num * np.minimum(least[a], least[b]) // den)).astype(np.int32)})
-            lag += 1
-        for g in np.flatnonzero(hot):
-            p = slice(starts[g], starts[g] + lengths[g])
-            one, many = x[p] != 0, x[p] == 0
-            frame = pd.DataFrame({"shard": shard[p], "label": label[p], "least": least[p], "most": most[p], "many": many})
-            frame = frame.groupby("shard").agg(low=("label", "min"), high=("label", "max"), least=("least", "min"), most=("most", "max"), many=("many", "max"))
-            for target, low, high, small, large, grouped in frame.itertuples():
-                # a class goes to later shards and to any that is grouped, a group to later grouped ones
-                ahead = shard[p] < target
-                ahead = np.where(one, ahead | grouped, ahead & grouped) & (shard[p] != target)
-                go = ahead & ((label[p] != low) | (label[p] != high)) & (most[p] * den >= small * num) & (least[p] * num <= large * den)
-                if go.any():
-                    yield pd.DataFrame({"x": x[p][go], "label": np.where(one, 0, label[p])[go], "shard": np.where(one, 0, shard[p])[go], "y": 0, "target": target, "need": np.int32(0)})
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ("element", "least", "most", "x", "label", "shard")
-        kept: list[pd.DataFrame] = []
-        held, enough = 0, GATHER
-        for batch in batches:
-            kept.append(batch)
-            held += len(batch)
-            if held < enough:
-                continue
-            rows = pd.concat(kept)
-            cut = int(np.searchsorted(rows["element"].to_numpy(), rows["element"].iloc[-1]))  # the last element may go on
-            yield from pairs(*(rows[c].to_numpy()[:cut] for c in columns)) if cut else ()
-            kept = [rows.iloc[cut:]]
-            held = len(kept[0])
-            enough = max(GATHER, 2 * held)
-        if held:
-            rows = pd.concat(kept)
-            yield from pairs(*(rows[c].to_numpy() for c in columns))
-
-    return work
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, of every node in the links (columns a and b).
 
     Each round, a node's label becomes the smallest label of its neighbours' labels, then the label's own
     label. Rounds end when nothing changes; there are about as many as the log of the longest path.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), name)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), name)
+    both = scratch.written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), name)
+    labels = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), name)
     while True:
         met = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_met")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_met").alias("_met"))
         low = labels.join(met, "node").select("node", F.least("label", "_met").alias("_low"), F.col("label").alias("_old"))
         jump = labels.select(F.col("node").alias("_low"), F.col("label").alias("_jump"))
-        new = written(low.join(jump, "_low", "left").select("node", F.least("_low", F.coalesce("_jump", "_low")).alias("label"), "_old"), name)
+        new = scratch.written(low.join(jump, "_low", "left").select("node", F.least("_low", F.coalesce("_jump", "_low")).alias("label"), "_old"), name)
+        scratch.drop(labels)
+        labels = new
         if not new.where("label <> _old").limit(1).count():
+            scratch.drop(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
-
 
-def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows with their label replaced by its component's."""
-    found = components(links, "jaccard-links").select(F.col("node").alias("label"), F.col("label").alias("_new"))
-    return rows.join(found, "label", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
 
-
-def _frequent(rows: DataFrame, classes: int, n: int) -> list[int]:
-    """Elements that are frequent in a bounded sample of the classes."""
+def _frequent(docs: DataFrame, key: str, text: str, n: int) -> list[int]:
+    """Elements that are frequent in a bounded sample of the documents."""
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in _unpack(batch["z"], n):
-                yield pd.DataFrame({"element": s})
+            sets = [shingles(t, n) for t in batch["text"]]
+            if sets:
+                yield pd.DataFrame({"element": np.concatenate(sets)})
 
-    part = min(SAMPLE + classes // 50, SAMPLE_MOST) / max(1, classes)
-    sample = rows.where((F.pmod(F.xxhash64(F.lit(5), "class"), F.lit(1_000_000)) < int(part * 1_000_000)) & F.col("z").isNotNull()).select("z")
+    part = SAMPLE_MOST / max(1, docs.count())
+    picked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1_000_000)) < int(part * 1_000_000))
+    sample = picked.select("text").limit(2 * SAMPLE_MOST) if part < 1 else picked.select("text")
     counts = sample.mapInPandas(elements, T.StructType([T.StructField("element", T.LongType())])).groupBy("element").agg(F.count("*").alias("_n"))
     return [r["element"] for r in counts.where(F.col("_n") >= SEEN).orderBy(F.desc("_n"), "element").limit(LAST).collect()]
 
 
-def link_classes(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``class`` and ``label`` (a class of its component, the same for all) of every class of the rows of shingle_sets()."""
-    spark, texts = rows.sparkSession, rows.where("z is not null")
-    total = texts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
-    shards = max(1, -(-total["size"] // SHARD))
-    split = texts.groupBy("home").agg(F.sum("size").alias("_n")).where(F.col("_n") > SHARD // 4).select("home", F.ceil(F.col("_n") / (SHARD // 4)).alias("_parts"))
-    splits = split.count()
-    shard = F.pmod(F.xxhash64("home"), F.lit(shards))
-    if splits:
-        texts = texts.join(F.broadcast(split) if splits <= 10_000 else split, "home", "left")
-        shard = F.when(F.col("_parts").isNull(), shard).otherwise(F.xxhash64("home", F.pmod(F.xxhash64(F.lit(3), "class"), F.col("_parts"))))
-    avoid = spark.sparkContext.broadcast(np.array(sorted(_frequent(rows, total["n"], n)), dtype=np.int64))
-    placed = written(texts.select("class", "z", shard.alias("shard")).groupBy("shard").applyInPandas(_in_shard(n, num, den, avoid), PLACED), "jaccard-placed")
-    if shards == 1 and not splits:
-        return placed.select("class", "label")
-    if splits:
-        apart = ~F.col("shard").between(0, shards - 1)  # shards that share a smallest element with others
-        ends = [F.min(F.struct("least", "x", "shard")).alias("_d")]
-        few = _postings(placed.where(apart)).groupBy("element", "label").agg(*ends).select("element", F.col("_d.least").alias("least"), F.col("_d.least").alias("most"), "_d.x", "label", "_d.shard")
-        placed = written(_relabel(placed, _links(rows, placed, few, n, num, den)), "jaccard-placed")
-        grouped = _postings(placed.where(apart)).groupBy("element", "label", "shard").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        own = _postings(placed.where(~apart)).unionByName(grouped.withColumn("x", F.lit(0).cast("long")))
-    else:
-        own = _postings(placed)
-    return _relabel(placed, _links(rows, placed, own, n, num, den)).select("class", "label")
-
-
-def _postings(placed: DataFrame) -> DataFrame:
-    return placed.select(F.explode("prefix").alias("element"), F.col("size").alias("least"), F.col("size").alias("most"), F.xxhash64("class").alias("x"), F.xxhash64("label").alias("label"), "shard")
-
-
-def _links(rows: DataFrame, placed: DataFrame, own: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs of labels with a link between them, from the prefix elements ``own`` of classes."""
-    columns = ("element", "least", "most", "x", "label", "shard")
-    met = own.select(*columns).repartition("element").sortWithinPartitions("element", "least").mapInPandas(_matches(num, den), ROUTES)
-    routes = written(met.groupBy("x", "label", "shard", "y", "target").agg(F.count("*").alias("_n"), F.min("need").alias("need")).where("_n >= need").drop("_n", "need"), "jaccard-routes")
-    marks = placed.select("class", F.xxhash64("class").alias("c"), F.xxhash64("label").alias("l"), "shard", F.col("label").alias("_label"))
-    groups = routes.where("x = 0").select(F.col("label").alias("l"), "shard", "target").distinct()
-    queries = routes.where("x <> 0").select("x", "target").union(marks.join(groups, ["l", "shard"]).select(F.col("c").alias("x"), "target")).distinct()
-    queries = written(queries, "jaccard-queries")
-    parts = queries.groupBy("target").agg(F.ceil(F.count("*") / QUERIES).alias("_parts"))
-    one = routes.where("y <> 0").select(F.col("y").alias("c"), "target")
-    whole = marks.join(routes.where("y = 0").select(F.col("target").alias("shard")).distinct(), "shard", "left_semi").select("c", F.col("shard").alias("target"))
-    index = written(one.union(whole).distinct(), "jaccard-index")
-    needed = written(index.select("c").union(queries.select(F.col("x").alias("c"))).distinct(), "jaccard-needed")
-    small = F.broadcast(needed) if needed.count() <= BROADCAST_CLASSES else needed  # one long a row
-    texts = rows.where("z is not null").select("class", "z", F.xxhash64("class").alias("c")).join(small, "c", "left_semi").dropDuplicates(["class"])
-    texts = written(texts.join(marks.select("class", "_label"), "class"), "jaccard-texts")
-    spread = index.join(parts, "target").select("c", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
-    index = spread.join(texts.withColumnRenamed("_label", "label"), "c")
-    asked = queries.join(parts, "target").select(F.col("x").alias("c"), F.col("target").alias("_target"), F.pmod(F.xxhash64("x"), F.col("_parts")).alias("_part"))
-    asked = asked.join(texts.select("c", F.col("z").alias("_z"), "_label"), "c").select(F.col("_label").alias("label"), F.col("_z").alias("z"), "_target", "_part")
-    return index.groupBy("target", "part").cogroup(asked.groupBy("_target", "_part")).applyInPandas(_across(n, num, den), LINKS)
+def _few(df: DataFrame) -> DataFrame:
+    """A table of ids to join with: broadcast if it has BROADCAST_CLASSES rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
+
+
+def link_classes(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+    """``class`` and ``label`` (a class of its component, the same for all) of the linked classes of the rows of shingle_sets(); None if nothing may be linked."""
+    texts = rows.where("z is not null")
+    spread = texts.select("x", F.explode("fresh").alias("sig"))
+    w = Window.partitionBy("sig")
+    star = spread.select("x", F.min("x").over(w).alias("rep"), F.count("*").over(w).alias("_n")).where("x <> rep")
+    cut = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_n") / NEIGHBOURS)))).cast("long")  # a power of two, so that signatures of like sizes agree
+    star = star.select("rep", F.pmod(F.xxhash64("x"), cut).alias("part"), "x")
+    pairs = scratch.written(star.union(texts.select(F.explode("near").alias("rep"), F.lit(0).cast("long").alias("part"), "x")).distinct(), "jaccard-pairs")
+    count = pairs.count()
+    if not count:
+        return None
+    shard = F.pmod(F.xxhash64("rep", "part"), F.lit(-(-count // SHARD))).alias("shard")
+    members = scratch.written(pairs.select(shard, "x").union(pairs.select(shard, F.col("rep").alias("x"))).distinct(), "jaccard-members")
+    live = _few(scratch.written(members.select("x").distinct(), "jaccard-live"))
+    texts = scratch.written(texts.join(live, "x", "left_semi").select("class", "x", "z", F.concat("fresh", "signed").alias("signed")).dropDuplicates(["class"]), "jaccard-texts")
+    joined = texts.select("class", "x", "z").join(members, "x").groupBy("shard").applyInPandas(_within(n, num, den), LINKS)
+    found = components(scratch.written(joined, "jaccard-links"), scratch).select(F.col("node").alias("class"), "label")
+    marks = texts.select("class", "x", "signed").join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    marks = scratch.written(marks, "jaccard-marks")
+    left = _unsettled(marks, texts.select("class", "z"), n, num, den, scratch)
+    if left is None:
+        return found
+    met = components(left, scratch).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    return marks.select("class", "label").join(met, "label", "left").select("class", F.coalesce("_new", "label").alias("label"))
+
+
+def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between labels that share a signature; None if no signature has several labels."""
+    posts = marks.select("class", "x", "label", F.explode("signed").alias("sig"))
+    several = posts.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("sig")
+    several = scratch.written(several, "jaccard-open")
+    if not several.limit(1).count():
+        return None
+    posts = scratch.written(posts.join(several, "sig"), "jaccard-posts")
+    sizes = marks.groupBy("label").agg(F.count("*").alias("size"))
+    by_label = posts.groupBy("sig", "label").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("_h"))
+    counts = scratch.written(by_label.groupBy("sig").agg(F.count("*").alias("labels"), F.sum("_n").alias("rows"), F.xxhash64(F.sum("_h"), F.sum("_n")).alias("group")), "jaccard-counts")
+    many = counts.where(F.col("labels") > LABELS).groupBy("group").agg(F.min("sig").alias("sig"), F.max("rows").alias("rows"))  # signatures of the same classes are one group
+    few = by_label.join(counts.where(F.col("labels") <= LABELS).select("sig"), "sig").join(sizes, "label").select("sig", "label", "size")
+    few = scratch.written(few, "jaccard-few")
+
+    # Pair by pair: the classes of a label are asked for in each larger label of their signatures.
+    larger = few.select("sig", F.col("label").alias("target"), F.col("size").alias("_size"))
+    ahead = few.join(larger, "sig").where("struct(size, label) < struct(_size, target)").select("sig", "label", "target")
+    ask = scratch.written(posts.join(ahead, ["sig", "label"]).select("target", "class").distinct(), "jaccard-ask")
+    held = scratch.written(posts.join(ahead.select("sig", F.col("target").alias("label")).distinct(), ["sig", "label"]).select(F.col("label").alias("target"), "class").distinct(), "jaccard-held")
+    total = held.count()
+    shape = held.groupBy("target").agg(F.ceil(F.count("*") / SHARD).alias("blocks")).join(ask.groupBy("target").agg(F.ceil(F.count("*") / (4 * SHARD)).alias("parts")), "target")
+    shape = scratch.written(shape, "jaccard-shape")
+    place = F.when((F.col("blocks") == 1) & (F.col("parts") == 1), F.pmod(F.xxhash64("target"), F.lit(max(1, -(-total // SHARD))))).otherwise(F.xxhash64("target", "_block", "_part")).alias("place")
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
+    index = held.join(shape, "target").withColumn("_block", own("blocks")).withColumn("_part", to("parts")).select("class", place)
+    asked = ask.join(shape, "target").withColumn("_part", own("parts")).withColumn("_block", to("blocks")).select("class", place)
+    known = scratch.written(texts.join(_few(scratch.written(ask.select("class").union(held.select("class")).distinct(), "jaccard-known")), "class", "left_semi").join(marks.select("class", "label"), "class"), "jaccard-asked")
+    index = known.join(index.distinct(), "class").select("place", "class", "label", "z")
+    asked = known.join(asked.distinct(), "class").select(*(F.col(c).alias(f"_{c}") for c in ("place", "class", "label", "z")))
+    links = index.groupBy("place").cogroup(asked.groupBy("_place")).applyInPandas(_across(n, num, den), LINKS)
+    links = scratch.written(links, "jaccard-across")
+    if not many.limit(1).count():
+        return links
+
+    # In blocks: every class of the group meets every other one in some shard.
+    blocks = posts.join(many, "sig").select("class", "group", F.ceil(F.col("rows") / SHARD).alias("blocks")).withColumn("_own", own("blocks")).withColumn("_other", to("blocks"))
+    shard = F.xxhash64("group", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("shard")
+    joined = texts.join(blocks.select("class", shard), "class").groupBy("shard").applyInPandas(_within(n, num, den), LINKS)
+    label = marks.select("class", "label")
+    ends = joined.join(label.select(F.col("class").alias("a"), F.col("label").alias("_a")), "a").join(label.select(F.col("class").alias("b"), F.col("label").alias("_b")), "b")
+    return links.union(scratch.written(ends.select("_a", "_b").where("_a <> _b").distinct(), "jaccard-blocks"))
 
 
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Every row of ``docs`` as key, ``n_shingles``, ``class`` (null for an empty set) and ``component_id``."""
-    text_batches(docs.sparkSession)
-    rows = written(shingle_sets(docs, key, text, n), "jaccard-rows")
-    labels = link_classes(rows, n, num, den)
-    known = written(rows.select("_key", "size", "class").join(labels, "class", "left"), "jaccard-known")
-    smallest = known.where("label is not null").groupBy("label").agg(F.min("_key").alias("_smallest"))
-    return known.join(smallest, "label", "left").select(F.col("_key").alias(key), F.col("size").alias("n_shingles"), "class", F.coalesce("_smallest", "_key").alias("component_id"))
+    spark = docs.sparkSession
+    text_batches(spark)
+    with Scratch(spark) as scratch:
+        avoid = spark.sparkContext.broadcast(np.array(sorted(_frequent(docs, key, text, n)), dtype=np.int64))
+        rows = scratch.written(shingle_sets(docs, key, text, n, num, den, avoid), "jaccard-rows")
+        found = link_classes(rows, n, num, den, scratch)
+        known = written(rows.select("_key", "size", "class"), "jaccard-known")
+        least = scratch.written(known.where("class is not null").groupBy("class").agg(F.min("_key").alias("_least"), F.count("*").alias("_n")), "jaccard-least")
+        if found is not None:
+            found = scratch.written(found.join(least, "class"), "jaccard-found")
+            low = scratch.written(found.groupBy("label").agg(F.min("_least").alias("_low")), "jaccard-low")
+            both = found.join(low, "label").select("class", "_low")
+            least = least.join(both, "class", "left").where("_n > 1 or _low is not null").select("class", F.coalesce("_low", "_least").alias("_low"))
+        else:
+            least = least.where("_n > 1").select("class", F.col("_least").alias("_low"))
+        least = written(least, "jaccard-components")  # a row for each class of several rows or links
+    return known.join(least, "class", "left").select(F.col("_key").alias(key), F.col("size").alias("n_shingles"), "class", F.coalesce("_low", "_key").alias("component_id"))
 
 
 def op6_ngram_jaccard(spark, sf_dir):

@@ -60,29 +60,68 @@ def test_bpe_is_tiktoken():
         assert c.decode(c.encode(s)) == s.encode()
 
 
-@pytest.mark.parametrize("shard, hot", [(1_000_000, 200), (2_000, 3)])
-def test_jaccard_join(spark, monkeypatch, shard, hot):
-    monkeypatch.setattr(jaccard_join, "SHARD", shard)
-    monkeypatch.setattr(jaccard_join, "HOT", hot)
-    rnd = random.Random(1)
+def components_of(sets, num, den):
+    """Smallest index of each set's component, by comparing all pairs."""
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and den * len(a & b) >= num * len(a | b):
+                low, high = sorted((root(i), root(j)))
+                label[high] = low
+    return [root(i) for i in range(len(sets))]
+
+
+def similar_texts(rnd, n):
+    """Word lists: copies with changes, and a large group of copies that differ from each other."""
     texts = []
     for _ in range(40):
-        words = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([1, 2, 5, 40, 120]))]
-        texts.append(words)
+        texts.append([f"w{rnd.randrange(400)}" for _ in range(rnd.choice([1, 2, 5, 12, 40, 120]))])
         for _ in range(rnd.choice([0, 1, 5])):
             copy = list(rnd.choice(texts))
-            copy[rnd.randrange(len(copy))] = "changed"
+            for _ in range(rnd.choice([1, 1, 2, 5])):
+                copy[rnd.randrange(len(copy))] = f"changed{rnd.randrange(3)}"
             texts.append(copy)
-    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) or frozenset([tuple(w)]) for w in texts]
-    label = list(range(len(sets)))
-    for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if 100 * len(a & b) >= 90 * len(a | b):
-                    label[i] = label[j] = min(label[i], label[j])
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_documents(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == label
+    base = [f"b{rnd.randrange(400)}" for _ in range(150)]
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rnd.choice([2, 4, 6])):
+            copy[rnd.randrange(len(copy))] = f"z{rnd.randrange(1000)}"
+        texts.append(copy)
+    return texts, [frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)]) for w in texts]
+
+
+@pytest.mark.parametrize("num, n, small", [(90, 3, False), (90, 3, True), (80, 5, True), (60, 1, True), (50, 1, True)])
+def test_jaccard_join(spark, monkeypatch, num, n, small):
+    if small:  # every path: many shards, many labels of a signature, classes that hand over
+        for name, value in (("SHARD", 6), ("LABELS", 2), ("NEIGHBOURS", 3)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    texts, sets = similar_texts(random.Random(num + n), n)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard_join.join_documents(docs, n=n, num=num).collect()}
+    assert [got[i] for i in range(len(texts))] == list(zip(components_of(sets, num, 100), map(len, sets), strict=True))
+
+
+def test_signatures_meet():
+    """Every similar pair of unequal sets shares a signature, whatever the frequent elements."""
+    rng = np.random.default_rng(4)
+    for num in (50, 80, 90):
+        met = 0
+        for _ in range(400):
+            a = np.unique(rng.integers(-(1 << 62), 1 << 62, rng.choice([2, 5, 10, 30, 100, 400])))
+            keep = a[rng.random(len(a)) > (100 - num) / 250]
+            b = np.unique(np.concatenate([keep, rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 1 + len(a) * (100 - num) // 250))]))
+            avoid = np.sort(rng.permutation(a)[: len(a) // 2])
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= num * (len(a) + len(b) - shared) and shared < max(len(a), len(b)):
+                met += 1
+                assert len(np.intersect1d(jaccard_join.signatures(a, avoid, num, 100), jaccard_join.signatures(b, avoid, num, 100)))
+        assert met > 50
 
 
 def test_vector_search(spark):

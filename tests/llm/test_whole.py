@@ -1,12 +1,10 @@
 """Results that were once cut, against brute force."""
 
-import random
 import re
 
 import duckdb
-import pandas as pd
 
-from ledgerloom.llm import jaccard_join, text_search, toxicity
+from ledgerloom.llm import text_search, toxicity
 
 
 def test_search_asks_for_every_term(spark, sf):
@@ -30,23 +28,6 @@ def test_search_finds_what_only_weak_terms_share(spark, monkeypatch):
     assert [r["doc_id"] for r in cut] == [1]
 
 
-def test_small_sets_meet_at_half(spark, monkeypatch):
-    rows = pd.DataFrame({"element": [1, 1, 2, 2], "least": 4, "most": 4, "x": [10, 20, 10, 20], "label": [10, 20, 10, 20], "shard": [1, 2, 1, 2]})
-    assert {int(n) for f in jaccard_join._matches(50, 100)(iter([rows])) for n in f["need"]} == {2}
-    monkeypatch.setattr(jaccard_join, "SHARD", 20)
-    rnd = random.Random(2)
-    sets = [frozenset(f"w{i}" for i in rnd.sample(range(60), 4)) for _ in range(60)]
-    label = list(range(len(sets)))
-    for _ in sets:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if 2 * len(a & b) >= len(a | b):
-                    label[i] = label[j] = min(label[i], label[j])
-    docs = spark.createDataFrame([(i, " ".join(sorted(w))) for i, w in enumerate(sets)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_documents(docs, n=1, num=50, den=100).collect()}
-    assert [got[i] for i in range(len(sets))] == label and len(set(label)) < len(sets)
-
-
 def test_a_long_text_leaves_its_class(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_TRAIN_CHARS", 20_000)
     rows = [(i, "vile awful hateful words " * (2_000 if i == 1 else 4) if i % 2 else f"kind calm friendly words {i} " * 4) for i in range(4)]
