@@ -33,11 +33,11 @@ def drop_boilerplate_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that is linked at 0.8 over five-word shingles: that of the smallest doc_id (null first), among
+    """Keeps one document of each group that is linked at 0.8 over five-word shingles: that of the smallest doc_id (null last), among
     equals by a hash of the text. Rows of one doc_id with different texts are documents of their own; rows of one
     doc_id and text are copies, of which any one stays. Texts without words are linked with nothing and stay.
     """
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
     known = jaccard_join.join_documents(docs.select(key.alias("_row"), "text"), "_row", "text", n=5, num=80, den=100).where("class is not null")
     known = written(known.groupBy("_row").agg(F.count("*").alias("_n"), F.max(F.col("_row") != F.col("component_id")).alias("_out")).where("_n > 1 or _out"), "pipeline-copies")
     marked = docs.withColumns({"_copy_id": F.col("doc_id"), "_copy_a": F.xxhash64("text"), "_copy_b": F.xxhash64(F.lit(7), "text")})
