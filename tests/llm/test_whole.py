@@ -1,19 +1,18 @@
 """Results that were once cut, against brute force."""
 
-import re
-
-import duckdb
+import math
 
 from ledgerloom.llm import text_search, toxicity
 
 
-def test_search_asks_for_every_term(spark, sf):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    whole, cuts = re.subn(r"\n +QUALIFY row_number\(\) OVER \(PARTITION BY doc_id [^\n]*<= \d+\),", "),", text_search.SQL)
-    assert cuts == 1
-    got = text_search.op2_text_search(spark, sf).select("query_id", "rank", "doc_id", "score").collect()
-    assert sorted(map(tuple, got)) == sorted(con.sql(whole).fetchall())
+def test_search_from_outside(spark):
+    """A term of one document counts; rows of one query id are one query; equal documents are all found."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (2, "gamma delta"), (None, "gamma"), (3, None), (4, "")], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(9, "gamma"), (9, "gamma"), (8, "alpha"), (7, None), (6, "zeta")], "doc_id long, text string")
+    found = text_search.search(docs, queries).orderBy("query_id", "rank").collect()
+    n, mean, length = 5, 6 / 5, 2
+    score = lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean))
+    assert [(r["query_id"], r["doc_id"], round(r["score"], 6)) for r in found] == [(8, 1, round(score(1), 6)), (9, 2, round(score(2), 6)), (9, 2, round(score(2), 6))]
 
 
 def test_search_finds_what_only_weak_terms_share(spark, monkeypatch):
