@@ -9,24 +9,26 @@ set, the score is that proportion.
 
 Defined results: a text that is null, empty or without a letter is ``und`` with score 0; so is every text where
 nothing could be learned; texts shorter than a trigram are padded with spaces; equal proportions go to
-the language that sorts first; repeated rows get equal results; an empty table gives an empty table.
+the language that sorts first; repeated rows get equal results; texts of any length are taken whole; a column that is named
+as ``into`` is replaced, other columns stay; of more than MAX_LANGUAGES languages those of the most text are learned; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import text_batches
+from ledgerloom.session import Scratch, text_batches
 
 BUCKETS = 1 << 15
-#: The learned table has BUCKETS x languages numbers; more languages than this are an error.
+#: The learned table has BUCKETS x languages numbers; of more languages than this, those of the most text are learned.
 MAX_LANGUAGES = 256
 UND = "und"
 #: Gain of log-likelihood that a further language needs, times the log of the number of trigrams.
@@ -34,7 +36,7 @@ PENALTY = 12.0
 FULL_STEPS, SET_STEPS = 8, 6
 #: Trigrams that are put through EM together.
 ENTRIES = 150_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
@@ -59,19 +61,17 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages, sorted, and the BUCKETS x languages table of trigram probabilities, from all rows with text and language."""
     text_batches(docs.sparkSession)
     own = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    rows = own.mapInPandas(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = rows.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted(r["lang"] for r in found)
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.written(own.mapInPandas(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+        langs = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect())
+        counts = rows.where(F.col("lang").isin(langs)).toArrow()  # BUCKETS x most rows at most
     table = np.full((BUCKETS, len(langs)), 0.5)
-    for r in found:
-        at = np.array([x["bucket"] for x in r["counts"]], dtype=np.int64)
-        table[at, langs.index(r["lang"])] += np.array([x["n"] for x in r["counts"]], dtype=np.float64)
+    place = np.searchsorted(np.array(langs, dtype=object), counts.column("lang").to_numpy(zero_copy_only=False)) if langs else np.zeros(0, dtype=np.int64)
+    table[counts.column("bucket").to_numpy(), place] += counts.column("n").to_numpy()
     return langs, (table / table.sum(axis=0, keepdims=True)).astype(np.float32)
 
 
