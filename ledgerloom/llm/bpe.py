@@ -27,7 +27,7 @@ from ledgerloom.session import text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker keeps encoded; beyond it, the store starts anew.
-CACHE = 300_000
+CACHE = 200_000
 #: Pieces longer than this are merged by a heap.
 LONG = 48
 #: The code points that are white space to the pattern.

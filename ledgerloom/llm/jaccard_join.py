@@ -54,8 +54,8 @@ SHARD = 1_500
 LABELS = 30
 #: Classes whose ids are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_CLASSES = 1_000_000
-#: Signatures, and classes, that a task remembers; beyond them it starts anew.
-REMEMBERED = 600_000
+#: Signatures, and classes, that a task remembers, and words that a worker has hashed; beyond them it starts anew.
+REMEMBERED, WORDS = 150_000, 60_000
 #: Ranges of sizes: each ends before the next number, half as large again.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
@@ -67,7 +67,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
