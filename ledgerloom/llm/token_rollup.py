@@ -11,6 +11,8 @@ empty batch commits and changes nothing; repeated rows in a batch count each tim
 
 from __future__ import annotations
 
+import functools
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,14 +70,42 @@ class TokenRollup:
         self.spark.createDataFrame([(batch, attempt)], COMMITS).coalesce(1).write.mode("overwrite").parquet(record)
         return True
 
+    def _snapshots(self) -> list[str]:
+        """Whole snapshots, the oldest first; their names sort by time."""
+        if not self._exists(f"{self.path}/snapshots"):
+            return []
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        return sorted(name for x in found if self._exists(f"{self.path}/snapshots/{(name := x.getPath().getName())}/commits/_SUCCESS"))
+
+    def compact(self) -> None:
+        """Sums all committed deltas into a snapshot, after which totals() reads only it and what was committed later. Batches stay known."""
+        at = f"{self.path}/snapshots/{time.time_ns():020d}-{uuid.uuid4().hex}"
+        covered = self.committed()
+        self.totals().write.parquet(f"{at}/totals")
+        covered.write.parquet(f"{at}/commits")  # last: a snapshot without it does not count
+
     def totals(self) -> DataFrame:
-        if not self._exists(f"{self.path}/deltas"):
+        """Sums by KEYS over the last snapshot and the deltas of batches that were committed after it."""
+        last, open_ = self._snapshots()[-1:], self.committed()
+        parts = [self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshots/{s}/totals").drop("attempt") for s in last]
+        if last:
+            open_ = open_.join(self.spark.read.schema(COMMITS).parquet(f"{self.path}/snapshots/{last[0]}/commits"), "attempt", "left_anti")
+        paths = [f"{self.path}/deltas/{r['attempt']}" for r in open_.select("attempt").collect()]  # one a batch since the snapshot
+        if paths:
+            parts.append(self.spark.read.schema(self.schema).parquet(*paths).drop("attempt"))
+        if not parts:
             return self.spark.createDataFrame([], self.schema).drop("attempt")
-        deltas = self.spark.read.schema(self.schema).parquet(f"{self.path}/deltas/*")
-        sums = deltas.join(self.committed().select("attempt"), "attempt", "left_semi").groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+        sums = functools.reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
         return sums.where(" or ".join(f"{m} <> 0" for m in MEASURES))
 
 
+def counted(docs: DataFrame, versions: dict[str, Column]) -> DataFrame:
+    """KEYS and ``n_tokens`` of every document under each tokenizer version, a column of counts: ``F.octet_length(bpe.encoder()("text")) / 4`` counts byte-level BPE."""
+    each = F.array(*(F.struct(F.lit(v).alias("version"), n.cast("long").alias("n_tokens")) for v, n in versions.items()))
+    return docs.select("source", "lang", F.inline(each))
+
+
 #: The tokenizer versions of op7: what a token is, as a pattern; the last is the revised rule of the one before.
 WORDS, PIECES, REVISED = r"\S+", r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", r"[A-Za-z]+|[0-9]+"
 
@@ -86,15 +116,16 @@ def _count(pattern: str) -> Column:
 
 def op7_token_counts(spark, sf_dir):
     """Totals over ``documents`` after four batches: all documents inserted under two tokenizer versions, exact copies deleted
-    (the smallest doc_id of a text stays), the counts of the second version revised for what is left, the deletes replayed."""
+    (the smallest doc_id of a text stays; a null text is no copy), the counts of the second version revised for what is left, the deletes replayed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = written(docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("_text"), _count(WORDS).alias("words"), _count(PIECES).alias("pieces"), _count(REVISED).alias("revised")), "token-counts")
-    first = counts.groupBy("_text").agg(F.min("doc_id").alias("_first"))
-    kept = F.col("doc_id").eqNullSafe(F.col("_first"))
-    marked = written(counts.join(first, "_text").withColumn("kept", kept), "token-counts")
+    counts = written(docs.select("doc_id", "source", "lang", F.md5("text").alias("_text"), _count(WORDS).alias("words"), _count(PIECES).alias("pieces"), _count(REVISED).alias("revised")), "token-counts")
+    first = written(counts.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "token-copies")
+    # Both sides are shuffled by the join alone, so a text of very many copies is split between tasks.
+    kept = F.col("_first").isNull() | F.col("doc_id").eqNullSafe(F.col("_first"))
+    marked = written(counts.join(first, "_text", "left").withColumn("kept", kept), "token-marked")
 
     def versions(rows: DataFrame) -> DataFrame:
-        return rows.select("source", "lang", F.inline(F.array(F.struct(F.lit("words-1").alias("version"), F.col("words").alias("n_tokens")), F.struct(F.lit("pieces-1").alias("version"), F.col("pieces").alias("n_tokens")))))
+        return counted(rows, {"words-1": F.col("words"), "pieces-1": F.col("pieces")})
 
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     rollup.commit("1-insert", inserts(versions(marked)))
@@ -106,7 +137,7 @@ def op7_token_counts(spark, sf_dir):
 
 SQL = rf"""
 WITH c AS (SELECT doc_id, source, lang, text, len(regexp_extract_all(text, '{WORDS}')) AS w, len(regexp_extract_all(text, '{REVISED}')) AS p FROM documents),
-k AS (SELECT * FROM c WHERE doc_id = (SELECT min(x.doc_id) FROM c x WHERE x.text = c.text))
+k AS (SELECT doc_id, source, lang, coalesce(w, 0) AS w, coalesce(p, 0) AS p FROM c WHERE text IS NULL OR doc_id = (SELECT min(x.doc_id) FROM c x WHERE x.text = c.text))
 SELECT source, lang, 'words-1' AS version, count(*)::BIGINT AS n_docs, sum(w)::BIGINT AS n_tokens FROM k GROUP BY source, lang
 UNION ALL
 SELECT source, lang, 'pieces-1' AS version, count(*)::BIGINT AS n_docs, sum(p)::BIGINT AS n_tokens FROM k GROUP BY source, lang
