@@ -8,7 +8,8 @@ down all trees at once.
 Defined results: null and empty texts have all statistics 0 and get the score of such a row; where
 no labelled rows of both classes can be learned from, every score is the share of label 1 (0.5 without
 labels); of several labels of a key the largest counts; repeated rows get equal scores; rows with a null
-key are scored and never learned from; an empty table gives an empty table.
+key are scored and never learned from; texts of any length are taken whole; only key and text are read, whatever other columns are
+named; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str
     rows = written(docs.select(F.col(key), features(F.col(f"`{text}`")).alias("features")), "quality-features")
     known = labels.where(may_learn(F.col(key)) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label)).cast("double").alias("_label"))
     sample = known.orderBy(F.xxhash64("_key"), "_key").limit(max_train)
-    train = rows.join(F.broadcast(sample), rows[key] == F.col("_key")).select("_key", "features", "_label").dropDuplicates(["_key"]).toPandas()
+    train = rows.join(F.broadcast(sample), rows[key] == F.col("_key")).groupBy("_key", "_label").agg(F.min("features").alias("features")).toPandas()  # max_train rows at most
     train = train.sort_values("_key")
     x = np.stack(train["features"].to_numpy()).astype(np.float64) if len(train) else np.zeros((0, len(FEATURES)))
     trees = fit(x, train["_label"].to_numpy(dtype=np.float64))
