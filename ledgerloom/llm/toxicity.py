@@ -13,8 +13,8 @@ at the same distances, so a gain comes from toxic words only. Contents are raw d
 
 Defined results: null and empty texts have no windows and get the score of a document with no gain; without
 labelled rows of both classes every score is the share of label 1 (0.5 without labels); of several
-labels of a key the largest counts; rows with a null key are scored, never learned from; repeated rows get
-equal scores; an empty table gives an empty table.
+labels of a key the largest counts, of several texts of a key one (that of the smallest hash); rows with a null key are scored, never learned from; repeated rows get
+equal scores; texts of any length are scored whole; a column that is named as ``into`` is replaced, other columns stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -111,18 +111,20 @@ class Windows:
         return [*(tail / len(parts)), *np.log1p(tail), float(gain.max()), float(gain.mean()), sum(before) / sum(map(len, parts)), math.log1p(len(parts))]
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str, text: str) -> tuple[tuple[bytes, bytes] | None, Trees]:
+def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str, text: str, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> tuple[tuple[bytes, bytes] | None, Trees]:
+    """Dictionaries (None without both classes) and calibration, from at most ``max_train`` documents and ``max_chars`` characters of a class."""
     text_batches(docs.sparkSession)
     known = labels.where(may_learn(F.col(key)) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label)).cast("int").alias("_label"))
-    picked = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(MAX_TRAIN) for y in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x MAX_TRAIN rows at most
+    picked = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(max_train) for y in (0, 1)]
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x max_train rows at most
     w = Window.partitionBy("_label").orderBy(F.xxhash64("_key"), "_key", "_text")
     rows = (
-        docs.select(F.col(key).alias("_own"), F.col(text).alias("_text"))
+        docs.select(F.col(key).alias("_own"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars // SHARES).alias("_text"))
         .join(sample, F.col("_own") == F.col("_key"))
-        .select("_key", "_label", F.substring(F.coalesce("_text", F.lit("")), 1, MAX_TRAIN_CHARS // SHARES).alias("_text"))
+        .groupBy("_key", "_label")
+        .agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.col("_text"))).alias("_text"))
         .withColumn("_sum", F.sum(F.length("_text")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("_sum") <= MAX_TRAIN_CHARS)
+        .where(F.col("_sum") <= max_chars)
         .select("_label", "_text")
         .orderBy("_label", "_sum", "_text")
         .collect()
@@ -150,9 +152,9 @@ def scorer(spark, contents: tuple[bytes, bytes] | None, trees: Trees):
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str = "doc_id", text: str = "text", into: str = "score") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str, may_learn, key: str = "doc_id", text: str = "text", into: str = "score", **bounds: int) -> DataFrame:
     """The documents with the column ``into``; learned from labelled rows where ``may_learn`` (a function of the key column) holds."""
-    return docs.withColumn(into, scorer(docs.sparkSession, *learn(docs, labels, label, may_learn, key, text))(F.col(f"`{text}`")))
+    return docs.withColumn(into, scorer(docs.sparkSession, *learn(docs, labels, label, may_learn, key, text, **bounds))(F.col(f"`{text}`")))
 
 
 def op3_toxicity(spark, sf_dir):

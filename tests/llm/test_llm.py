@@ -164,6 +164,23 @@ def test_rollup_is_idempotent(spark):
     assert sorted(map(tuple, rollup.totals().collect()), key=str) == sorted([("a", None, "v", 1, 4), (None, "en", "v", 1, 0)], key=str)
 
 
+def test_rollup_compacts(spark):
+    docs = spark.createDataFrame([("a", "en", "Hello world, hello"), ("a", "en", None), ("b", None, "12 drummers")], "source string, lang string, text string")
+    path, pattern = bpe.default_vocabulary()
+    rows = token_rollup.counted(docs, {"bpe": F.coalesce(F.octet_length(bpe.encoder()("text")), F.lit(0)) / 4})
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit("1", token_rollup.inserts(rows))
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    size = lambda t: len(enc.encode_ordinary(t))
+    want = {("a", "en", "bpe", 2, size("Hello world, hello")), ("b", None, "bpe", 1, size("12 drummers"))}
+    assert set(map(tuple, rollup.totals().collect())) == want
+    rollup.compact()
+    assert set(map(tuple, rollup.totals().collect())) == want and not rollup.commit("1", token_rollup.inserts(rows))
+    rollup.commit("2", token_rollup.deletes(rows.where("source = 'b'")))
+    rollup.compact()
+    assert set(map(tuple, rollup.totals().collect())) == {x for x in want if x[0] == "a"}
+
+
 def test_mixing_hits_the_weights(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 15_000, "a").otherwise("b").alias("source"), F.lit("xxxx").alias("text"))
     n = {r["source"]: r["count"] for r in mixing.mix(docs, weights={"a": 1.0, "b": 1.0}).groupBy("source").count().collect()}

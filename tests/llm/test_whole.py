@@ -27,10 +27,9 @@ def test_search_finds_what_only_weak_terms_share(spark, monkeypatch):
     assert [r["doc_id"] for r in cut] == [1]
 
 
-def test_a_long_text_leaves_its_class(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_TRAIN_CHARS", 20_000)
+def test_a_long_text_leaves_its_class(spark):
     rows = [(i, "vile awful hateful words " * (2_000 if i == 1 else 4) if i % 2 else f"kind calm friendly words {i} " * 4) for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (0, 0), (2, 0)], "doc_id long, toxic int")
-    contents, _ = toxicity.learn(docs, labels, "toxic", lambda key: key.isNotNull(), "doc_id", "text")
+    contents, _ = toxicity.learn(docs, labels, "toxic", lambda key: key.isNotNull(), "doc_id", "text", max_chars=20_000)
     assert contents is not None
