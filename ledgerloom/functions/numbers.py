@@ -43,6 +43,18 @@ def form_decimal(text: Column, places: int = 2) -> Column:
     return F.round(_try(F.regexp_replace(F.replace(dotted, F.lit(","), F.lit(".")), r"[^0-9.\-]", "")), places)
 
 
+def form_number(text: Column, places: int = 2) -> Column:
+    """struct<valor, leido>: form_decimal(), and whether a text was read."""
+    value = form_decimal(text, places)
+    return F.struct(value.alias("valor"), value.isNotNull().alias("leido"))
+
+
+def publish_boolean(text: Column) -> Column:
+    """The fewer words of the publisher."""
+    word = F.lower(F.trim(text))
+    return F.when(word.isin("true", "1", "si", "sí", "yes"), True).when(word.isin("false", "0", "no"), False)
+
+
 def extraction_amount(text: Column) -> Column:
     """As form_decimal, but letters make it NULL; a double."""
     bare = F.regexp_replace(text, r"(?U)[€\s]", "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,18 @@ def unaccent_any(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
 
 
+def plain_text(text: str) -> str:
+    """A Python text without marks: compatibility decomposition, combining marks dropped."""
+    return re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", text))
+
+
+#: Letters of the Latin blocks that decompose into one ASCII letter and marks, and these ASCII letters.
+_ACCENTED = {chr(c): p for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block if len(p := plain_text(chr(c))) == 1 and p.isascii()}
+
+
 def unaccent(text: Column) -> Column:
-    """Latin letters, within the JVM."""
-    return F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüçñÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ", "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN")
+    """Latin letters without their marks, within the JVM; other scripts need unaccent_any()."""
+    return F.regexp_replace(F.translate(text, "".join(_ACCENTED), "".join(_ACCENTED.values())), "[\u0300-\u036f]", "")
 
 
 def _strip(text: Column) -> Column:
@@ -69,6 +79,95 @@ def date(text: Column) -> Column:
     )
 
 
+def form_company(text: Column) -> Column:
+    """The company of a review form: without accents, single spaces, every run of letters capitalised (also after marks, as in ``O'Neil & Co-Op``)."""
+    plain = _strip(_spaces(unaccent(text)))
+    runs = F.regexp_extract_all(plain, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.nullif(F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), ""), F.lit(""))
+
+
+def strict_date(text: Column) -> Column:
+    """yyyy-MM-dd only; anything else is NULL."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+#: Spanish month names of the review form and their short forms.
+FORM_MONTHS = {
+    "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12,
+    "ene": 1, "feb": 2, "mar": 3, "abr": 4, "may": 5, "jun": 6, "jul": 7, "ago": 8, "sep": 9, "sept": 9, "set": 9, "oct": 10, "nov": 11, "dic": 12,
+}
+
+
+def form_date(text: Column) -> Column:
+    """struct<fecha, corregida>: ISO, day/month/year or day-month-year with 4 or 2 digits of the year, else ``d (de) month (de) yyyy``; ``corregida``
+    tells that it was read from another form than ISO. NULL and false where nothing fits."""
+    t = _strip(text)
+    numeric = F.regexp_extract_all(t, F.lit(r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}|\d{2})$"), F.lit(0))
+    part = lambda i: F.regexp_extract(t, r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}|\d{2})$", i)
+    year = F.when(F.length(part(4)) == 2, F.concat(F.when(part(4).try_cast("int") < 69, F.lit("20")).otherwise(F.lit("19")), part(4))).otherwise(part(4))
+    said = F.split(_strip(_spaces(F.replace(F.replace(F.lower(t), F.lit("."), F.lit("")), F.lit("de"), F.lit(" ")))), " ")
+    # "de" also goes within words, so a month is known by what is left of its name.
+    known = F.create_map(*[F.lit(x) for k, v in FORM_MONTHS.items() for x in (k, v)])
+    word = lambda i: F.try_element_at(said, F.lit(i))
+    built = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    iso = F.try_to_date(F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), t), "yyyy-M-d")
+    month = F.try_element_at(known, word(2)).cast("string")
+    other = F.when(F.size(numeric) > 0, built(year, part(3), part(1))).when(month.isNotNull() & word(1).rlike(r"^\d{1,2}$") & word(3).rlike(r"^\d{4}$"), built(word(3), month, word(1)))
+    return F.struct(F.coalesce(iso, other).alias("fecha"), (iso.isNull() & other.isNotNull()).alias("corregida"))
+
+
+def safe_json(text: Column) -> Column:
+    """The text where it is JSON, else the text as a JSON string; NULL stays NULL."""
+    made = F.to_json(F.struct(text.alias("v")))  # {"v":"..."}
+    return F.when(F.try_parse_json(text).isNotNull(), text).when(text.isNotNull(), made.substr(F.lit(6), F.length(made) - 6))
+
+
+def wrapped_json(text: Column) -> Column:
+    """The text where it is JSON, else ``{"valor": text}``."""
+    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.to_json(F.struct(text.alias("valor"))))
+
+
+def python_literal_json(text: Column) -> Column:
+    """JSON from the text of a Python literal or of JSON: ``{"valor": "..."}`` is unwrapped, ``Decimal('1.2')`` becomes 1.2, single quotes, None, True and
+    False become JSON's. What is neither becomes ``{"valor": text}``; blank texts are NULL. Quotes inside a string are read as far as the reader of single quotes goes."""
+    t = F.nullif(_strip(text), F.lit(""))
+    wrapped = F.json_object_keys(t)
+    inner = F.when((F.size(wrapped) == 1) & (wrapped[0] == "valor"), F.coalesce(F.get_json_object(t, "$.valor"), t)).otherwise(t)
+    numbers = F.regexp_replace(inner, r"Decimal\(\s*['\"]([+-]?\d+(?:\.\d+)?)['\"]\s*\)", "$1")
+    # A string literal is put aside whole, so words inside it stay as they are.
+    piece = F.regexp_extract_all(numbers, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""), F.lit(0))
+    bare = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    quoted = lambda p: F.concat(F.lit('"'), F.replace(F.replace(p.substr(F.lit(2), F.length(p) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    made = F.array_join(F.transform(piece, lambda p: F.when(p.startswith("'") & p.endswith("'") & (F.length(p) > 1), quoted(p)).when(p.startswith('"'), p).otherwise(bare(p))), "")
+    return F.when(t.isNull(), F.lit(None)).when(F.try_parse_json(inner).isNotNull(), inner).when(F.try_parse_json(made).isNotNull(), made).otherwise(F.to_json(F.struct(inner.alias("valor"))))
+
+
+def warnings_list(text: Column) -> Column:
+    """array<string> of a warnings column whatever its shape: a JSON list, an object with ``avisos`` (a list or one value), another JSON value or no JSON at all."""
+    v = F.try_parse_json(text)
+    as_list = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.try_variant_get(v, "$.avisos", "array<string>"))
+    one = F.try_variant_get(v, "$.avisos", "string")
+    whole = F.when(F.json_object_keys(text).isNotNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce(F.try_variant_get(v, "$", "string"), text)))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.coalesce(as_list, F.when(one.isNotNull(), F.array(one)), whole))
+
+
+def outside_json(text: Column) -> Column:
+    """What follows the last closing brace; the whole text if there is none."""
+    return F.trim(F.substring_index(text, "}", -1))
+
+
+def clean_file_name(path: Column) -> Column:
+    """struct<nombre, aviso>: the last part of a path without control characters; the warning tells that something was dropped."""
+    last = F.regexp_extract(path, r"([^/\\\\]*)$", 1)
+    name = F.regexp_replace(last, r"[\x00-\x1f\x7f]", "")
+    return F.struct(name.alias("nombre"), F.when(name != path, F.lit("nombre_saneado")).alias("aviso"))
+
+
+def concept_spaces(text: Column) -> Column:
+    """Runs of white space, also of no-break spaces, as one space; none at the ends."""
+    return _strip(_spaces(F.replace(text, F.lit("\u00a0"), F.lit(" "))))
+
+
 def lenient_json(text: Column) -> Column:
     """The JSON object in a model's answer: a fenced block, the whole text, or from the first to the last brace; NULL if none parses."""
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))

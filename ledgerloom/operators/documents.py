@@ -126,6 +126,11 @@ def expected_total(d: Column) -> Column:
     return F.aggregate(F.transform(d["items"], line), zero, lambda a, x: (a + F.coalesce(x, F.lit(0))).cast(wide)) - F.coalesce(d["totales"]["descuento_total"], F.lit(0))
 
 
+def document_text(items: Column) -> Column:
+    """The concepts of the items, in order, as one text."""
+    return F.array_join(F.filter(F.transform(items, lambda x: F.trim(F.coalesce(x["concepto"], F.lit("")))), lambda c: c != ""), " ")
+
+
 def validate(rows: DataFrame, doc: str = "normalizado", ok: tuple[float, float] = (0.01, 0.001), warn: tuple[float, float] = (0.05, 0.005)) -> DataFrame:
     """Adds ``errores`` and ``avisos_contables`` (arrays of struct<codigo, ruta, meta>) and ``ok_validacion`` (no error).
 

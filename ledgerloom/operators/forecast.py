@@ -5,6 +5,8 @@ Every series is a group of its own, so series are fitted apart on the executors;
 
 from __future__ import annotations
 
+import datetime
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,7 +63,23 @@ def autoregress(y: np.ndarray, horizon: int) -> np.ndarray:
 MODELS = {"AUTOREGRESIVO": autoregress, "HOLT_WINTERS": smooth}
 
 
-def _fit(keys: list[str], month: str, value: str):
+def future_months(last: datetime.date, horizon: int = HORIZON, current: datetime.date | None = None) -> list[datetime.date]:
+    """The first days of the months from the one after ``last``, or from the current month if that is later."""
+    begin = max(last.year * 12 + last.month, current.year * 12 + current.month - 1 if current else 0)
+    return [datetime.date((begin + i) // 12, (begin + i) % 12 + 1, 1) for i in range(horizon)]
+
+
+def upcoming(rows: DataFrame, month: str, today) -> DataFrame:
+    """Forecasts of the current month and later ones."""
+    return rows.where(F.col(month) >= F.trunc(today, "MM"))
+
+
+def run_summary(rows: DataFrame, level: str = "nivel") -> DataFrame:
+    """Per level: series trained, series skipped and forecast rows."""
+    return rows.groupBy(level).agg(F.count_if(F.col("paso") == 1).alias("entrenadas"), F.count_if(F.col("paso") == 0).alias("omitidas"), F.count_if(F.col("paso") > 0).alias("predicciones"))
+
+
+def _fit(keys: list[str], month: str, value: str, current: datetime.date | None = None):
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(month)
         y, last = rows[value].to_numpy(dtype=np.float64), rows[month].iloc[-1]
@@ -75,16 +93,17 @@ def _fit(keys: list[str], month: str, value: str):
             errors = {m: float(np.abs(f(y[:-TEST], TEST) - y[-TEST:]).mean()) for m, f in MODELS.items()}
             name = min(errors, key=errors.get)
             values, mae = MODELS[name](y, HORIZON), errors[name]
-        months = pd.date_range(pd.Timestamp(last), periods=HORIZON + 1, freq="MS")[1:]
-        return pd.DataFrame([head | {"modelo": name, "paso": i + 1, "mes": m.date(), "valor": round(float(v), 2), "mae": round(mae, 4)} for i, (m, v) in enumerate(zip(months, values, strict=True))])
+        months = future_months(pd.Timestamp(last).date(), HORIZON, current)
+        return pd.DataFrame([head | {"modelo": name, "paso": i + 1, "mes": m, "valor": round(float(v), 2), "mae": round(mae, 4)} for i, (m, v) in enumerate(zip(months, values, strict=True))])
 
     return work
 
 
-def forecast(filled: DataFrame, keys: list[str], month: str, value: str) -> DataFrame:
-    """HORIZON rows per series that can be trained, one status row per other series."""
+def forecast(filled: DataFrame, keys: list[str], month: str, value: str, current: datetime.date | None = None) -> DataFrame:
+    """HORIZON rows per series that can be trained, one status row (step 0) per other series; months begin at the current one at the earliest. There are no
+    intervals, so ``inferior`` and ``superior`` are NULL."""
     schema = T.StructType([*(filled.schema[k] for k in keys), T.StructField("modelo", T.StringType()), T.StructField("paso", T.IntegerType()), T.StructField("mes", T.DateType()), T.StructField("valor", T.DoubleType()), T.StructField("mae", T.DoubleType())])
-    return filled.select(*keys, month, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(_fit(keys, month, value), schema)
+    return filled.select(*keys, month, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(_fit(keys, month, value, current), schema).withColumns({c: F.lit(None).cast("double") for c in ("inferior", "superior")})
 
 
 def winner_share(rows: DataFrame, by: list[str] | None = None, counted: str = "paso = 1") -> DataFrame:

@@ -37,6 +37,41 @@ def delete_not_ok(current: DataFrame, last: DataFrame, key: str, ok: str) -> Dat
     return current.join(last.where(~F.coalesce(F.col(ok), F.lit(False))).select(key), key, "left_anti")
 
 
+def update_if_ok(current: DataFrame, changes: DataFrame, key: str, ok: str) -> DataFrame:
+    """Current rows take the values of an ok change of their key, where it has them; changes that are not ok, or of unknown keys, do nothing."""
+    columns = [c for c in current.columns if c != key]
+    new = changes.where(F.coalesce(F.col(ok), F.lit(False))).select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))
+    return current.join(new, key, "left").select(key, *(F.coalesce(f"_new_{c}", c).alias(c) for c in columns))
+
+
+def cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str, str]], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after rows were deleted. ``gone`` has the deleted keys of first tables; a link (parent, its key, child, its foreign key, rule) says
+    what happens to children, in order: CASCADE deletes them, SET NULL empties the foreign key, RESTRICT keeps parents that have children.
+    A child's own deleted keys go on to later links from it, under the key that the link names."""
+    tables, gone = dict(tables), dict(gone)
+    for parent, key, child, foreign, rule in links:
+        if rule == "RESTRICT" and parent in gone:
+            gone[parent] = gone[parent].join(tables[child].select(F.col(foreign).alias(key)), key, "left_anti")
+    for table, keys in gone.items():
+        tables[table] = tables[table].join(keys, keys.columns, "left_anti")
+    for parent, key, child, foreign, rule in links:
+        if parent not in gone:
+            continue
+        lost = gone[parent].select(F.col(key).alias(foreign)).distinct()
+        if rule == "CASCADE":
+            gone[child] = tables[child].join(lost, foreign, "left_semi")
+            tables[child] = tables[child].join(lost, foreign, "left_anti")
+        elif rule == "SET NULL":
+            marked = tables[child].join(lost.withColumn("_lost", F.lit(True)), foreign, "left")
+            tables[child] = marked.withColumn(foreign, F.when(F.col("_lost").isNull(), F.col(foreign))).select(*tables[child].columns)
+    return tables
+
+
+def restricted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of a given set of ids; Spark broadcasts the ids where they are few."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children with a key that no parent has."""
     return children.where(F.col(key).isNotNull()).join(parents.select(key), key, "left_anti")

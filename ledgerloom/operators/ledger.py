@@ -52,9 +52,31 @@ def income_expense(rows: DataFrame) -> DataFrame:
     return rows.rollup("categoria", "etiqueta").agg(kind(F.col("importe") > 0).alias("ingresos"), kind(F.col("importe") < 0).alias("gastos"), F.count("*").alias("n"))
 
 
+def monthly_series(series: DataFrame, keys: list[str], month: str, value: str) -> DataFrame:
+    """One row per series and month: the sum of its values."""
+    return series.groupBy(*keys, month).agg(F.sum(value).cast(CENTS).alias(value))
+
+
+def fill_range(dates: DataFrame, day: str, done: DataFrame, done_day: str, today: Column) -> DataFrame:
+    """One row ``desde``, ``hasta``, ``motivo``: the days that still need occurrences, from the first document's month or the day after the
+    last occurrence. Without documents, or with nothing to do, the dates are NULL and the reason says so."""
+    first = dates.agg(F.trunc(F.min(day), "MM").alias("_first"))
+    both = first.crossJoin(done.agg(F.max(done_day).alias("_last")))  # one row each
+    start = F.greatest("_first", F.date_add("_last", 1))
+    reason = F.when(F.col("_first").isNull(), "sin_normalizaciones_ok").when(start > today, "ya_al_dia")
+    return both.select(F.when(reason.isNull(), start).alias("desde"), F.when(reason.isNull(), today).alias("hasta"), reason.alias("motivo"))
+
+
+def catch_up(events: DataFrame, span: DataFrame) -> DataFrame:
+    """The occurrences of the days of fill_range(), all at once; none where it has a reason. The range is one row, so it is read by the driver."""
+    found = span.first()
+    start, end = (F.lit(found[c]).cast("date") for c in ("desde", "hasta"))
+    return occurrences(events, start, end)
+
+
 def gap_filled(series: DataFrame, keys: list[str], month: str, value: str) -> DataFrame:
-    """One value per month from a series' first to its last month, 0 where there was none; one shuffle."""
-    found = series.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_m"), F.min(month).alias("_a"), F.max(month).alias("_b"))
+    """One value per month, the sum, from a series' first to its last month, 0 where there was none."""
+    found = monthly_series(series, keys, month, value).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_m"), F.min(month).alias("_a"), F.max(month).alias("_b"))
     each = F.explode(F.sequence("_a", "_b", F.expr("interval 1 month")))
     return found.select(*keys, "_m", each.alias(month)).select(*keys, month, F.coalesce(F.try_element_at("_m", F.col(month)), F.lit(0)).cast(CENTS).alias(value))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import rule_text
+from ledgerloom.functions.text import plain_text, rule_text
 from ledgerloom.operators.history import any_of
 
 
@@ -23,9 +23,16 @@ class Rule:
 
 
 def label(rules: list[Rule], company: Column, text: Column) -> Column:
-    """struct<macro, label>: rules by priority, then fallbacks by company only, else otros. Substrings match."""
-    company, text = rule_text(company), rule_text(text)
-    has = lambda c, words: any_of([c.contains(w.lower()) for w in words])
+    """struct<macro, label>: rules by priority, then fallbacks by company only, else otros. Substrings match, whatever the case and the accents of text and rule.
+
+    The normalised company and text are made once a row: they are the variable of a lambda, not copied into each rule.
+    """
+    once = F.array(F.struct(rule_text(company).alias("company"), rule_text(text).alias("text")))
+    return F.transform(once, lambda s: _first(rules, s["company"], s["text"]))[0]
+
+
+def _first(rules: list[Rule], company: Column, text: Column) -> Column:
+    has = lambda c, words: any_of([c.contains(plain_text(w).lower()) for w in words])
     made = lambda a, b: F.struct(F.lit(a).alias("macro"), F.lit(b).alias("label"))
     out = None
     plain = sorted((r for r in rules if not r.fallback), key=lambda r: -r.priority)
@@ -37,6 +44,31 @@ def label(rules: list[Rule], company: Column, text: Column) -> Column:
     return other if out is None else out.otherwise(other)
 
 
+#: A category's label where no rule is specific, and the public names of specific labels.
+FALLBACK_BY_CATEGORY = {
+    "alimentacion": "alimentacion_otro", "hogar_servicios_suscripciones": "hogar_servicios_otro", "consumo_personal_hogar": "consumo_otro", "salud": "salud_otro",
+    "restauracion_ocio": "ocio_otro", "educacion": "educacion_otro", "otros": "otros_sin_regla",
+}
+PUBLIC_LABELS = {
+    "alimentacion_supermercado": "supermercado", "alimentacion_panaderia": "panaderia", "alimentacion_carniceria": "carniceria", "alimentacion_verduleria_fruteria": "fruteria",
+    "suministros_luz": "luz", "suministros_gas": "gas", "suministros_agua": "agua", "telecomunicaciones": "telecomunicaciones", "seguros": "seguros",
+    "suscripciones_digitales": "suscripciones", "hogar_comunidad_vivienda": "hogar_comunidad_vivienda", "transporte_combustible": "combustible", "transporte_peaje": "peaje",
+    "transporte_mantenimiento": "taller", "estanco": "estanco", "moda_ropa": "ropa", "moda_calzado": "calzado", "electronica_tecnologia": "electronica_tecnologia",
+    "hogar_brico_menaje_mobiliario": "hogar_brico_menaje_mobiliario", "peluqueria_estetica": "peluqueria", "papeleria": "papeleria", "farmacia": "farmacia", "dentista": "dentista",
+    "restaurante_bar": "restaurante_bar",
+}
+
+
+def public_label(label: Column, other: str = "otros") -> Column:
+    """struct<publica, especifica>: the public name of a specific label, ``other`` for fallbacks and unknown ones."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in PUBLIC_LABELS.items() for x in kv]), F.trim(label))
+    return F.struct(F.coalesce(found, F.lit(other)).alias("publica"), found.isNotNull().alias("especifica"))
+
+
+def fallback_label(category: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FALLBACK_BY_CATEGORY.items() for x in kv]), category), F.lit("otros_sin_regla"))
+
+
 def decide(rule_label: Column, model: Column, confidence: Column, allowed: list[str], least: float = 0.6) -> Column:
     """struct<categoria, ok, aviso>: a specific rule wins, else the model's class if it is allowed."""
     specific = rule_label != "otros_sin_regla"

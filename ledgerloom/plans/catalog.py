@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, text
 from ledgerloom.operators import forecast, history, ledger, rules
-from ledgerloom.plans import document_queries
+from ledgerloom.plans import document_queries, process_queries
 from ledgerloom.plans.domain import UNTIL, view, with_views
 from ledgerloom.session import read_table, scratch_path
 from ledgerloom.streaming import incremental
@@ -248,7 +248,7 @@ def normalise_names(spark, d):
 
 
 RULES = [
-    rules.Rule("ocio", "restaurantes", 50, text=("bar",)),
+    rules.Rule("ocio", "restaurantes", 50, text=("Bár",)),
     rules.Rule("hogar", "suministros", 90, company=("src1",), text=("tion",), needs_text=True),
     rules.Rule("hogar", "seguros", 10, text=("license", "rights")),
     rules.Rule("compras", "tienda", company=("src2",), fallback=True),
@@ -308,6 +308,14 @@ def forecast_rows(spark, d):
     return _forecast(spark, d)
 
 
+@query(with_views(_MONTHLY + """, lv AS (SELECT 'total' AS nivel, 'total' AS categoria, 'total' AS etiqueta, mes, sum(gasto) AS g FROM monthly GROUP BY mes UNION ALL SELECT 'categoria', categoria, 'total', mes, sum(gasto) FROM monthly GROUP BY ALL
+ UNION ALL SELECT 'etiqueta', categoria, etiqueta, mes, sum(gasto) FROM monthly GROUP BY ALL), s AS (SELECT nivel, categoria, etiqueta, count(*) FILTER (g > 0) >= 12 AS ok FROM lv GROUP BY ALL)
+ SELECT nivel, count(*) FILTER (ok) AS entrenadas, count(*) FILTER (NOT ok) AS omitidas, 6 * count(*) FILTER (ok) AS predicciones FROM s GROUP BY nivel""", *_SPAN))
+def forecast_run_summary(spark, d):
+    """Per level: series that were trained or skipped, and forecasts made."""
+    return forecast.run_summary(_forecast(spark, d))
+
+
 @query()
 def winner_share(spark, d):
     """The series that each model wins, by level; the total and categories that cannot be trained count as a model of their own."""
@@ -324,5 +332,6 @@ def stream_latest_state(spark, d):
     return incremental.current(spark, path).select("id_documento", "id_normalizacion", "ok", "valor")
 
 
-QUERIES.update(document_queries.QUERIES)
-SQL.update(document_queries.SQL)
+for part in (document_queries, process_queries):
+    QUERIES.update(part.QUERIES)
+    SQL.update(part.SQL)

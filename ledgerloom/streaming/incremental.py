@@ -5,13 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.history import latest
+from ledgerloom.operators.history import latest, upsert
 
 
 def monthly_totals(stream: DataFrame, day: str, value: str, keys: list[str], delay: str = "45 days") -> DataFrame:
-    """Totals by month and keys, kept up to date; rows later than the delay are dropped by the watermark."""
-    rows = stream.withColumn("_at", F.col(day).cast("timestamp")).withWatermark("_at", delay)
-    return rows.groupBy(F.window("_at", "1 day").alias("_w"), *keys).agg(F.sum(value).alias("importe"), F.count("*").alias("n"))
+    """Totals by month (``mes``) and keys, kept up to date in update mode. The watermark goes by months: rows of a month that began longer than the delay
+    before the newest month are dropped; late_rows() counts them."""
+    rows = stream.withColumn("mes", F.date_trunc("month", F.col(day).cast("timestamp"))).withWatermark("mes", delay)
+    return rows.groupBy("mes", *keys).agg(F.sum(value).alias("importe"), F.count("*").alias("n"))
+
+
+def late_rows(query) -> int:
+    """What a query's stateful operators dropped as too late, over the progress reports that it keeps (a batch may be reported again); 0 if nothing was.
+
+    Spark counts what reaches the state, so rows that a task had summed by key before count as one, and an aggregation counts them at each of its steps.
+    """
+    batches = {p["batchId"]: [int(s.get("numRowsDroppedByWatermark", 0)) for s in p["stateOperators"]] for p in query.recentProgress}
+    return sum(map(sum, batches.values()))
+
+
+def replace_sink(spark: SparkSession, path: str, keys: list[str]):
+    """A foreachBatch function that keeps the newest totals of each key, as versions under ``path``; for update mode."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = current(spark, path, number)
+        merged = batch if before is None else upsert(before.select(*batch.columns), batch, keys)
+        merged.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+        _forget(spark, path, number)
+
+    return write
+
+
+def _versions(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return fs, {int(p.getName().split("=")[1]): p for p in folders if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
+def _forget(spark: SparkSession, path: str, number: int) -> None:
+    """Deletes versions that neither readers of the newest two nor a replay of the batch ``number`` need."""
+    fs, found = _versions(spark, path)
+    for n in sorted(n for n in found if n < number)[:-1]:
+        fs.delete(found[n], True)
 
 
 def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str]):
@@ -26,24 +62,22 @@ def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str
         rows = latest(batch, keys, order)
         merged = rows if before is None else latest(before.select(*rows.columns).unionByName(rows), keys, order)
         merged.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+        _forget(spark, path, number)
 
     return write
 
 
 def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The last complete version (below a number), or None."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = sorted(str(s.getPath().getName()) for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    done = [d for d in done if before is None or int(d.split("=")[1]) < before]
-    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+    done = sorted(n for n in _versions(spark, path)[1] if before is None or n < before)
+    return spark.read.parquet(f"{path}/version={done[-1]:012d}") if done else None
 
 
-def run_available(stream: DataFrame, write, checkpoint: str) -> None:
-    """Processes what is there, in batches, and ends."""
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
+    """Processes what is there, in batches, and ends; the query that has ended."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def new_files(spark: SparkSession, path: str, delay: str = "7 days") -> DataFrame:
