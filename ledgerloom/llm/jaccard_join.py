@@ -44,8 +44,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.session import Scratch, text_batches, written
 
-#: Classes of the sample for the order: SAMPLE_MOST at most; elements in SEEN of them are frequent, the LAST most frequent count.
-SAMPLE_MOST, SEEN, LAST = 20_000, 3, 100_000
+#: Documents of the sample for the order: about SAMPLE_MOST; elements in SEEN of them are frequent, the LAST most frequent count.
+SAMPLE_MOST, SEEN, LAST = 10_000, 3, 100_000
 #: Neighbours that a class takes in a task; then a later class takes over.
 NEIGHBOURS = 500
 #: Candidates of a shard.
@@ -324,8 +324,8 @@ def _frequent(docs: DataFrame, key: str, text: str, n: int) -> list[int]:
                 yield pd.DataFrame({"element": np.concatenate(sets)})
 
     part = SAMPLE_MOST / max(1, docs.count())
-    picked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1_000_000)) < int(part * 1_000_000))
-    sample = picked.select("text").limit(2 * SAMPLE_MOST) if part < 1 else picked.select("text")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), "key", "text"), F.lit(1_000_000)) < int(part * 1_000_000)).select("text")
     counts = sample.mapInPandas(elements, T.StructType([T.StructField("element", T.LongType())])).groupBy("element").agg(F.count("*").alias("_n"))
     return [r["element"] for r in counts.where(F.col("_n") >= SEEN).orderBy(F.desc("_n"), "element").limit(LAST).collect()]
 
@@ -351,7 +351,7 @@ def link_classes(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch)
     members = scratch.written(pairs.select(shard, "x").union(pairs.select(shard, F.col("rep").alias("x"))).distinct(), "jaccard-members")
     live = _few(scratch.written(members.select("x").distinct(), "jaccard-live"))
     texts = scratch.written(texts.join(live, "x", "left_semi").select("class", "x", "z", F.concat("fresh", "signed").alias("signed")).dropDuplicates(["class"]), "jaccard-texts")
-    joined = texts.select("class", "x", "z").join(members, "x").groupBy("shard").applyInPandas(_within(n, num, den), LINKS)
+    joined = texts.select("class", "x", "z").join(_few(members), "x").groupBy("shard").applyInPandas(_within(n, num, den), LINKS)
     found = components(scratch.written(joined, "jaccard-links"), scratch).select(F.col("node").alias("class"), "label")
     marks = texts.select("class", "x", "signed").join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
     marks = scratch.written(marks, "jaccard-marks")
@@ -365,11 +365,12 @@ def link_classes(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch)
 def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
     """Links (a, b) between labels that share a signature; None if no signature has several labels."""
     posts = marks.select("class", "x", "label", F.explode("signed").alias("sig"))
-    several = posts.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("sig")
+    hashed = marks.select(F.xxhash64("label").alias("_l"), F.explode("signed").alias("sig"))
+    several = hashed.groupBy("sig").agg(F.min("_l").alias("_low"), F.max("_l").alias("_high")).where("_low <> _high").select("sig")
     several = scratch.written(several, "jaccard-open")
     if not several.limit(1).count():
         return None
-    posts = scratch.written(posts.join(several, "sig"), "jaccard-posts")
+    posts = scratch.written(posts.join(_few(several), "sig"), "jaccard-posts")
     sizes = marks.groupBy("label").agg(F.count("*").alias("size"))
     by_label = posts.groupBy("sig", "label").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("_h"))
     counts = scratch.written(by_label.groupBy("sig").agg(F.count("*").alias("labels"), F.sum("_n").alias("rows"), F.xxhash64(F.sum("_h"), F.sum("_n")).alias("group")), "jaccard-counts")
@@ -390,7 +391,7 @@ def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, s
     own = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
     index = held.join(shape, "target").withColumn("_block", own("blocks")).withColumn("_part", to("parts")).select("class", place)
     asked = ask.join(shape, "target").withColumn("_part", own("parts")).withColumn("_block", to("blocks")).select("class", place)
-    known = scratch.written(texts.join(_few(scratch.written(ask.select("class").union(held.select("class")).distinct(), "jaccard-known")), "class", "left_semi").join(marks.select("class", "label"), "class"), "jaccard-asked")
+    known = scratch.written(texts.join(_few(scratch.written(ask.select("class").union(held.select("class")).distinct(), "jaccard-known")), "class", "left_semi").join(_few(marks.select("class", "label")), "class"), "jaccard-asked")
     index = known.join(index.distinct(), "class").select("place", "class", "label", "z")
     asked = known.join(asked.distinct(), "class").select(*(F.col(c).alias(f"_{c}") for c in ("place", "class", "label", "z")))
     links = index.groupBy("place").cogroup(asked.groupBy("_place")).applyInPandas(_across(n, num, den), LINKS)
@@ -410,7 +411,7 @@ def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, s
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Every row of ``docs`` as key, ``n_shingles``, ``class`` (null for an empty set) and ``component_id``."""
     spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(spark, 500)
     with Scratch(spark) as scratch:
         avoid = spark.sparkContext.broadcast(np.array(sorted(_frequent(docs, key, text, n)), dtype=np.int64))
         rows = scratch.written(shingle_sets(docs, key, text, n, num, den, avoid), "jaccard-rows")
