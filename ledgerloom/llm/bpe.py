@@ -27,7 +27,7 @@ from ledgerloom.session import text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker keeps encoded; beyond it, the store starts anew.
-CACHE = 200_000
+CACHE = 100_000
 #: Pieces longer than this are merged by a heap.
 LONG = 48
 #: The code points that are white space to the pattern.
@@ -200,7 +200,7 @@ def round_trip(path: str | None = None, pattern: str | None = None):
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every text; number and digest of the ids, digest of the decoded bytes."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 250)
     return docs.select(F.col(f"`{key}`"), round_trip()(F.col(f"`{text}`")).alias("_found")).select(F.col(f"`{key}`"), "_found.*")
 
 

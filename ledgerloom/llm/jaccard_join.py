@@ -55,7 +55,7 @@ LABELS = 30
 #: Classes whose ids are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_CLASSES = 1_000_000
 #: Signatures, and classes, that a task remembers, and words that a worker has hashed; beyond them it starts anew.
-REMEMBERED, WORDS = 150_000, 60_000
+REMEMBERED, WORDS = 60_000, 20_000
 #: Ranges of sizes: each ends before the next number, half as large again.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
@@ -411,7 +411,7 @@ def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, s
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Every row of ``docs`` as key, ``n_shingles``, ``class`` (null for an empty set) and ``component_id``."""
     spark = docs.sparkSession
-    text_batches(spark, 500)
+    text_batches(spark, 250)
     with Scratch(spark) as scratch:
         avoid = spark.sparkContext.broadcast(np.array(sorted(_frequent(docs, key, text, n)), dtype=np.int64))
         rows = scratch.written(shingle_sets(docs, key, text, n, num, den, avoid), "jaccard-rows")

@@ -63,7 +63,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages, sorted, and the BUCKETS x languages table of trigram probabilities, from all rows with text and language."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 250)
     own = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.written(own.mapInPandas(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
