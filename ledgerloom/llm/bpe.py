@@ -14,12 +14,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +206,55 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(f"`{key}`"), round_trip()(F.col(f"`{text}`")).alias("_found")).select(F.col(f"`{key}`"), "_found.*")
 
 
+#: Buckets of the literal rank map: a lookup in a map walks its entries, so each bucket has a few.
+RANK_BUCKETS = 8192
+
+
+def rank_of(ranks: dict[bytes, int]):
+    """A column function: hexadecimal piece -> its rank, by a literal map that is dealt to buckets by crc32."""
+    buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
+    for piece, rank in ranks.items():
+        name = piece.hex().upper()
+        buckets[zlib.crc32(name.encode()) % RANK_BUCKETS][name] = rank
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")  # folded to a literal by the optimiser
+    return lambda piece: F.try_element_at(F.element_at(table, (F.crc32(piece.cast("binary")) % RANK_BUCKETS + 1).cast("int")), piece)
+
+
+def fold_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word", into: str = "ids") -> DataFrame:
+    """The distinct words with their ids, by higher-order functions: each step joins the adjacent pair of the lowest rank, the leftmost of equals."""
+    rank, text = rank_of(ranks), F.hex(F.col(word).cast("binary"))
+    parts = F.transform(F.sequence(F.lit(0), (F.length(text) / 2 - 1).cast("int")), lambda i: F.substring(text, (2 * i + 1).cast("int"), F.lit(2)))
+
+    def step(s: Column, _: Column) -> Column:
+        pairs = F.transform(F.slice(s, 1, F.size(s) - 1), lambda p, i: rank(F.concat(p, F.get(s, i + 1))))
+        at = F.array_position(pairs, F.array_min(pairs)).cast("int")
+        joined = F.concat(F.slice(s, 1, at - 1), F.array(F.concat(F.get(s, at - 1), F.get(s, at))), F.slice(s, at + 2, F.size(s)))
+        return F.when((F.size(s) > 1) & F.coalesce(at > 0, F.lit(False)), joined).otherwise(s)
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(text) / 2).cast("int"))), parts, step)
+    known = rank(text)  # a word that is a token is not folded
+    ids = F.when(F.length(text) == 0, F.array().cast("array<int>")).when(known.isNotNull(), F.array(known)).otherwise(F.transform(folded, rank))
+    return words.withColumn(into, ids)
+
+
+def encode_by_words(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``key``, ``ids`` and ``decoded`` of every text by a table of distinct words and joins, without Python; keys must be unique.
+
+    Every (document, word) pair is shuffled to the words and back, which is why digests() folds the words in the tasks that meet them.
+    """
+    path, pattern = (path, pattern) if path and pattern else default_vocabulary()
+    ranks, (inside, plain) = read_ranks(path), (f"[{SPACE}]", f"[^{SPACE}]")
+    spelled = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", inside).replace(r"\S", plain)
+    pieces = docs.select(F.col(key).alias("_key"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(spelled), F.lit(0))).alias("_at", "word"))
+    words = fold_words(pieces.select("word").distinct(), ranks)
+    tokens = {i: piece.hex().upper() for piece, i in ranks.items()}
+    names = F.from_json(F.lit(json.dumps([tokens.get(i, "") for i in range(max(tokens) + 1)])), "array<string>")
+    each = pieces.join(words, "word").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_w"))
+    found = each.select("_key", F.flatten(F.transform("_w", lambda w: w["ids"])).alias("ids"))
+    done = docs.select(F.col(key).alias("_key")).join(found, "_key", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    return done.select(F.col("_key").alias(key), "ids", F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at(names, i + 1)), "")).alias("decoded"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     """Every document's ids and round trip, as digests."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
