@@ -20,7 +20,7 @@ def test_search_from_outside(spark):
 def test_search_finds_what_only_weak_terms_share(spark, monkeypatch):
     monkeypatch.setattr(text_search, "SHARD", 7)
     monkeypatch.setattr(text_search, "MOST_TERMS", 20)
-    monkeypatch.setattr(text_search, "FLOOR", 2)
+    monkeypatch.setattr(text_search, "LEVELS", (1, 2, 4))
     telling = " ".join(f"t{i} t{i}" for i in range(16))
     rows = [(0, f"{telling} weak"), (1, telling), (2, "weak"), *((10 + i, f"weak filler{i}") for i in range(20))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
