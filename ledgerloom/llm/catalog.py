@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, jaccard_join, language_id, line_dedup, mixing, quality, text_search, token_rollup, toxicity, vector_search
+from ledgerloom.llm import bpe, conversation_repair, jaccard_join, language_id, line_dedup, mixing, quality, text_search, token_rollup, toxicity, vector_codes, vector_search
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality": quality.op10_quality,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op2_text_search": text_search.SQL, "op7_token_counts": token_rollup.SQL, "op8_line_dedup": line_dedup.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_text_search": text_search.SQL, "op7_token_counts": token_rollup.SQL, "op8_line_dedup": line_dedup.SQL, "op13_vector_codes": vector_codes.SQL}
