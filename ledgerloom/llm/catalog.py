@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, conversation_repair, jaccard_join, language_id, line_dedup, mixing, quality, text_search, token_rollup, toxicity, vector_codes, vector_search
+from ledgerloom.llm import bpe, conversation_repair, jaccard_join, language_id, line_dedup, mixing, quality, text_search, token_files, token_rollup, toxicity, vector_codes, vector_search
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality": quality.op10_quality,
+    "op11_token_files": token_files.op11_token_files,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
