@@ -12,9 +12,9 @@ under a name that no other attempt has; the manifest (one row a file) is a table
 that counts, so files of lost executors are never read. A document's place in the corpus is the ids of all files before its
 own plus its place in the file. Files are read back in ranges of documents of about READ_IDS ids each, over all tasks.
 
-Encoding: a text is cut at white space, which the tokenizer drops, and the library encodes the distinct pieces that a task meets; pieces are kept for
-the next batches. The ids are those of the whole text (tested); it is some 10 times as fast. A tokenizer for which that does not
-hold is used with ``by_piece=False``, on whole texts.
+Encoding: the tokenizer drops white space and case, so a text is cut at white space and before marks that begin a token, Latin letters are made small, and the
+library encodes the distinct pieces that a task meets, which are kept for the next batches. The ids are those of the whole text (tested), for a fraction of the
+time. A tokenizer for which that does not hold is used with ``by_piece=False``, on whole texts.
 
 Defined results: a null text is empty; an empty text is the end id alone; null keys come first, rows of one key are ordered by hash of the text, equal rows
 follow each other in any order; an empty table gives no file and an empty result; other columns are ignored.
@@ -41,8 +41,13 @@ from ledgerloom.session import arrow_rows, read_table, scratch_path
 
 MAGIC = b"TOKIDS01"
 FOOTER = struct.Struct("<6Q8s")
-#: Ids of a block, a multiple of 8; texts of an Arrow batch; ids that a task reads back at a time; pieces that a worker keeps, and their longest.
-BLOCK, BATCH, READ_IDS, PIECES, LONGEST = 4096, 250, 4_000_000, 200_000, 64
+#: Ids of a block, a multiple of 8; texts of an Arrow batch; ids that a task reads back at a time.
+BLOCK, BATCH, READ_IDS = 4096, 250, 4_000_000
+#: Pieces that a worker keeps twice over, and the longest of them that are no words; words that are encoded as one text.
+PIECES, LONGEST, JOINED = 250_000, 64, 1_000
+#: Marks that may be cut from what stands before them, and the kinds of the first 256 characters: (m)ark, (a)lphanumeric, white space, other (p)unctuation.
+MARKS = ",.;:!?"
+_KINDS = bytes(ord("m" if chr(c) in MARKS else "a" if chr(c).isalnum() else " " if c in b"\t\n\r " else "p") for c in range(256))
 END = 2
 #: Files of a group when places are summed up.
 GROUP = 1_000
@@ -158,40 +163,76 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_piece, self.known = Tokenizer.from_file(path), by_piece, {}
+        self.tokenizer, self.by_piece = Tokenizer.from_file(path), by_piece
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.vocabulary, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of pieces, those met lately and those met before.
+        self.known, self.old = {}, {}
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces whose ids, one after another, are the text's."""
+        try:
+            kinds = text.encode("latin-1").translate(_KINDS)
+        except UnicodeEncodeError:
+            kinds = b""
+        if kinds:
+            small = text.lower()
+            if not any(t in small for t in self.special):
+                text = small
+            if b"mm" not in kinds and b"pm" not in kinds:  # each mark stands behind a letter, a digit or white space, so it begins a token
+                for m in MARKS:
+                    text = text.replace(m, f" {m}")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: many as one text, whose ids are cut behind those that end a word, which saves the library an object a word."""
+        if not self.ends.any():
+            return self._library(words)
+        out: list[bytes] = []
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):  # each word has one end at least, so equal numbers are one each
+                out += self._library(part)
+                continue
+            data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out += [data[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit numbers."""
         if not self.by_piece:
             return self._library(texts)
-        known, cut = self.known, [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = list(set().union(*cut) - known.keys()) if cut else []
-        found = dict(zip(missing, self._library(missing), strict=True))
-        if len(known) + len(found) > PIECES:
-            known.clear()
-            missing = [p for p in set().union(*cut) if p not in found]
-            found |= zip(missing, self._library(missing), strict=True)
-        either = known | found if len(found) > len(known) else _Both(known, found)
-        out = [b"".join([either[p] for p in pieces]) for pieces in cut]
-        known |= {p: ids for p, ids in found.items() if len(p) <= LONGEST}
+        known, old, cut = self.known, self.old, [self._cut(t) for t in texts]
+        words, others = [], []
+        for p in set().union(*cut) - known.keys() if cut else ():
+            ids = old.get(p)
+            if ids is not None:
+                known[p] = ids
+            elif p.isalpha():
+                words.append(p)
+            else:
+                others.append(p)
+        known.update(zip(words, self._words(words), strict=True))
+        known.update(zip(others, self._library(others), strict=True))
+        get = known.__getitem__
+        out = [b"".join(map(get, pieces)) for pieces in cut]
+        for p in others:
+            if len(p) > LONGEST:
+                del known[p]
+        if len(known) > PIECES:
+            self.known, self.old = {}, known
         return out
 
 
-class _Both(dict):
-    """What is known and what was just found, without a copy of what is known."""
-
-    def __init__(self, known: dict, found: dict):
-        super().__init__(found)
-        self.known = known
-
-    def __missing__(self, key):
-        return self.known[key]
-
-
 @functools.cache
 def encoder(path: str, by_piece: bool = True) -> Encoder:
     return Encoder(path, by_piece)
@@ -309,4 +350,5 @@ def op11_token_files(spark, sf_dir):
     write_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     keys = spark.read.parquet(f"{path}/keys")
     found = read_documents(spark, path, crc32, T.LongType())
-    return keys.join(found, ["path", "place"]).select(F.col("_key").alias("doc_id"), "start", "n_tokens", F.col("value").alias("ids_crc32"))
+    # Spark takes what Python makes of a small table for small; it has a row a document.
+    return keys.join(found.hint("merge"), ["path", "place"]).select(F.col("_key").alias("doc_id"), "start", "n_tokens", F.col("value").alias("ids_crc32"))

@@ -49,7 +49,7 @@ def test_random_access(tmp_path):
         T.Reader(str(tmp_path / "other.bin"))
 
 
-ODD = ["", " ", "\n\n", "It's the cat's-hat, isn't it?", "ÅÄÖ é é ΣΑΣ İI", "a\x1cb\x85c d e", " ́x ́", "<|endoftext|> x<|startoftext|>y", "tab\tnew\r\nline\x0bv\x0cf", "日本語 テキスト 한국어 각", "1234 5,6", "👩‍👩‍👧 🇩🇪", "x" * 300]
+ODD = ["", " ", "\n\n", "It's the cat's-hat, isn't it?", "ÅÄÖ é é ΣΑΣ İI", "a\x1cb\x85c d e", " ́x ́", "<|endoftext|> x<|startoftext|>y", "tab\tnew\r\nline\x0bv\x0cf", "日本語 テキスト 한국어 각", "1234 5,6", "👩‍👩‍👧 🇩🇪", "x" * 300, "one, two. three?! 'four', _five. a.b 5,5 6. (x). \"y.\" don't. DON'T, ²³. ª.", "<|ENDOFTEXT|> A.", "Ünï, Ñandú; ÅÇÉ. ßẞ. ŸĲ. Ǆ, İ. µ. Σ. ΑΣ.", "a\xa0b,\xa0c \x1d, \x85. z", "...", ". . ,", "a\u0301. b", "''s 's. it's, 'S"]
 
 
 def test_pieces_have_the_ids_of_the_whole(spark, sf, monkeypatch):
