@@ -11,7 +11,8 @@ Sources without a weight share the pool ``other``, so there are no more pools th
 A mean above MAX_PART is the sum of several smaller independent draws (exp(-mean) would vanish).
 
 Defined results: a null source is in ``other``; a null text has size 0; a pool of size 0 has rate 0; a pool with
-weight 0 has no copies; a null key draws by the text; repeated rows draw alike; an empty table gives
+weight 0 has no copies; rows of a null key, and rows of a key that several have, draw by a hash of the whole row, and
+equal ones by their number among these, so all draw apart; texts of any length are copied whole; other columns stay, whatever their names; an empty table gives
 an empty table.
 """
 
@@ -22,9 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import written
+
 OTHER = "other"
 SEED = 17
 MAX_PART = 256.0
+#: Equal rows that are numbered in one piece.
+PIECE = 1_000
 #: The mixture that op1 and the pipeline aim at: shares in proportion to these.
 WEIGHTS = {"src0": 4.0} | {f"src{i}": 1.0 for i in range(1, 20)} | {OTHER: 1.0}
 
@@ -64,25 +69,47 @@ def pool(source: Column, weights: dict[str, float]) -> Column:
     return F.when(source.isin(*weights), source).otherwise(F.lit(OTHER))
 
 
+def named(docs: DataFrame, key: str) -> DataFrame:
+    """The columns as ``_c0``, ``_c1`` and so on, and ``_name``, by which a row draws: the key where it is the row's alone, else a hash of the row and a number among equal rows."""
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)), F.col(f"`{key}`").cast("string").alias("_key"))
+    repeated = rows.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("_key").alias("_again"))
+    repeated = written(repeated, "mixing-repeated")  # keys alone
+    own, none = rows.where("_key is not null"), rows.where("_key is null")
+    if repeated.limit(1).count():
+        again = F.col("_key") == F.col("_again")
+        none = none.unionByName(own.join(repeated, again, "left_semi"))
+        own = own.join(repeated, again, "left_anti")
+    return own.withColumnRenamed("_key", "_name").unionByName(_numbered(none))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Equal rows are counted before the shuffle and dealt out again in pieces of PIECE, so no task has all of a hot row."""
+    columns = [c for c in rows.columns if c != "_key"]
+    said = F.to_json(F.struct(*columns))
+    counted = rows.groupBy("_key", F.xxhash64(said).alias("_a"), F.xxhash64(F.lit(7), said).alias("_b")).agg(*(F.any_value(c).alias(c) for c in columns), F.count("*").alias("_n"))
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / PIECE)))).repartition("_a", "_b", "_piece")
+    each = pieces.withColumn("_i", F.explode(F.sequence(F.col("_piece") * PIECE + 1, F.least("_n", (F.col("_piece") + 1) * PIECE))))
+    return each.select(*columns, F.concat_ws("|", F.coalesce("_key", F.lit("")), F.hex("_a"), F.hex("_b"), "_i").alias("_name"))
+
+
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = SEED, report: bool = False) -> DataFrame:
     """The mixed corpus in random order; same columns, plus with ``report`` ``copy`` (from 1), ``n_copies`` and ``shuffle_key``."""
     weights = weights or WEIGHTS
     found = rates(docs, source, text, weights, epochs)  # len(weights) + 1 rows at most, so it is broadcast
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).withColumn("_pool", pool(F.col(f"_row.`{source}`"), weights))
-    name = F.coalesce(F.col(f"_row.`{key}`").cast("string"), F.md5(F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))))
+    at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    d = named(docs, key).withColumn("_pool", pool(F.col(at[source]), weights))
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.size(F.filter(F.col("_cdf"), lambda c: c <= F.element_at(F.col("_u"), j))))
     drawn = (
         d.join(F.broadcast(found), "_pool")
-        .withColumn("_name", name)
         .withColumn("_u", F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: unit_hash(F.lit(seed), F.col("_name"), j)))
         .withColumn("_n", F.aggregate(draws, F.lit(0), lambda a, x: a + x))
         .where("_n > 0 and _rate > 0")
-        .select("_row", "_name", "_n", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+        .select(*at.values(), "_name", "_n", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
         .withColumn("_key", F.md5(F.concat_ws(":", F.lit("shuffle"), F.lit(seed), F.col("_name"), F.col("_copy"))))
     )
     shuffled = drawn.repartition(F.col("_key")).sortWithinPartitions("_key")
     extra = [F.col("_copy").alias("copy"), F.col("_n").alias("n_copies"), F.col("_key").alias("shuffle_key")] if report else []
-    return shuffled.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns), *extra)
+    return shuffled.select(*(F.col(a).alias(c) for c, a in at.items()), *extra)
 
 
 def op1_mix_sources(spark, sf_dir):

@@ -23,7 +23,8 @@ def edge_docs(spark):
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     want = con.sql(catalog.SQL[name])
