@@ -1,17 +1,18 @@
 """Token counts as delta-maintained rollups.
 
 Totals by source, language and tokenizer version are sums of signed deltas. A batch of changes (inserts, deletes, revised
-counts) is summed by key and written as one attempt; a commit record, written after it, makes the attempt count. A batch whose
-id has a record is not applied again, and attempts without a record (lost drivers, failed writes) are never read,
-so a batch may be replayed at any time.
+counts) is summed by key and written as one attempt; a commit record, written after it, makes the attempt count. A record counts once it is
+complete; a batch whose id has one is not applied again, and attempts without one (lost drivers, failed writes) are never read,
+so a batch may be replayed at any time. A snapshot holds the sums of a fixed list of batches: what is committed while it
+is written stays outside it and is added by readers.
 
 Defined results: null keys are keys of their own; null counts are 0; keys whose totals are all 0 are left out; an
-empty batch commits and changes nothing; repeated rows in a batch count each time; other columns are ignored.
+empty batch commits and changes nothing; repeated rows in a batch count each time; texts of any length count, as only counts come here; other columns are ignored. Two writers
+may commit different batches at once; of two that commit one batch at once, the later record holds, so its attempt alone counts.
 """
 
 from __future__ import annotations
 
-import functools
 import time
 import uuid
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import scratch_path, written
+from ledgerloom.session import Scratch, scratch_path
 
 KEYS = ("source", "lang", "version")
 MEASURES = ("n_docs", "n_tokens")
@@ -53,10 +54,16 @@ class TokenRollup:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
+    def _names(self, folder: str) -> list[str]:
+        if not self._exists(f"{self.path}/{folder}"):
+            return []
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        return [x.getPath().getName() for x in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+
     def committed(self) -> DataFrame:
-        if not self._exists(f"{self.path}/commits"):
-            return self.spark.createDataFrame([], COMMITS)
-        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits/*")
+        """Batches and their attempts, of complete records alone."""
+        done = [f"{self.path}/commits/{n}" for n in self._names("commits") if self._exists(f"{self.path}/commits/{n}/_SUCCESS")]
+        return self.spark.read.schema(COMMITS).parquet(*done) if done else self.spark.createDataFrame([], COMMITS)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies the batch; false if it was applied before."""
@@ -72,32 +79,32 @@ class TokenRollup:
 
     def _snapshots(self) -> list[str]:
         """Whole snapshots, the oldest first; their names sort by time."""
-        if not self._exists(f"{self.path}/snapshots"):
-            return []
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots")
-        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
-        return sorted(name for x in found if self._exists(f"{self.path}/snapshots/{(name := x.getPath().getName())}/commits/_SUCCESS"))
+        return sorted(n for n in self._names("snapshots") if self._exists(f"{self.path}/snapshots/{n}/commits/_SUCCESS"))
+
+    def _state(self) -> tuple[list[str], list[tuple[str, str]], list[tuple[str, str]]]:
+        """The last snapshot, (batch, attempt) of all commits, and of those that it lacks. Each is one name a batch."""
+        last, all_ = self._snapshots()[-1:], [tuple(r) for r in self.committed().collect()]
+        covered = {r[0] for s in last for r in self.spark.read.schema(COMMITS).parquet(f"{self.path}/snapshots/{s}/commits").select("batch").collect()}
+        return last, all_, [c for c in all_ if c[0] not in covered]
+
+    def _sums(self, last: list[str], open_: list[tuple[str, str]]) -> DataFrame:
+        paths = [*(f"{self.path}/snapshots/{s}/totals" for s in last), *(f"{self.path}/deltas/{attempt}" for _, attempt in open_)]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema).drop("attempt")
+        parts = self.spark.read.schema(self.schema).parquet(*paths)
+        return parts.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).where(" or ".join(f"{m} <> 0" for m in MEASURES))
 
     def compact(self) -> None:
         """Sums all committed deltas into a snapshot, after which totals() reads only it and what was committed later. Batches stay known."""
         at = f"{self.path}/snapshots/{time.time_ns():020d}-{uuid.uuid4().hex}"
-        covered = self.committed()
-        self.totals().write.parquet(f"{at}/totals")
-        covered.write.parquet(f"{at}/commits")  # last: a snapshot without it does not count
+        last, all_, open_ = self._state()  # one list for both tables: a commit from now on is in neither
+        self._sums(last, open_).write.parquet(f"{at}/totals")
+        self.spark.createDataFrame(all_, COMMITS).write.parquet(f"{at}/commits")  # last: a snapshot without it does not count
 
     def totals(self) -> DataFrame:
-        """Sums by KEYS over the last snapshot and the deltas of batches that were committed after it."""
-        last, open_ = self._snapshots()[-1:], self.committed()
-        parts = [self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshots/{s}/totals").drop("attempt") for s in last]
-        if last:
-            open_ = open_.join(self.spark.read.schema(COMMITS).parquet(f"{self.path}/snapshots/{last[0]}/commits"), "attempt", "left_anti")
-        paths = [f"{self.path}/deltas/{r['attempt']}" for r in open_.select("attempt").collect()]  # one a batch since the snapshot
-        if paths:
-            parts.append(self.spark.read.schema(self.schema).parquet(*paths).drop("attempt"))
-        if not parts:
-            return self.spark.createDataFrame([], self.schema).drop("attempt")
-        sums = functools.reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
-        return sums.where(" or ".join(f"{m} <> 0" for m in MEASURES))
+        """Sums by KEYS over the last snapshot and the deltas of batches that it lacks."""
+        last, _, open_ = self._state()
+        return self._sums(last, open_)
 
 
 def counted(docs: DataFrame, versions: dict[str, Column]) -> DataFrame:
@@ -118,20 +125,21 @@ def op7_token_counts(spark, sf_dir):
     """Totals over ``documents`` after four batches: all documents inserted under two tokenizer versions, exact copies deleted
     (the smallest doc_id of a text stays; a null text is no copy), the counts of the second version revised for what is left, the deletes replayed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = written(docs.select("doc_id", "source", "lang", F.md5("text").alias("_text"), _count(WORDS).alias("words"), _count(PIECES).alias("pieces"), _count(REVISED).alias("revised")), "token-counts")
-    first = written(counts.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "token-copies")
-    # Both sides are shuffled by the join alone, so a text of very many copies is split between tasks.
-    kept = F.col("_first").isNull() | F.col("doc_id").eqNullSafe(F.col("_first"))
-    marked = written(counts.join(first, "_text", "left").withColumn("kept", kept), "token-marked")
 
     def versions(rows: DataFrame) -> DataFrame:
         return counted(rows, {"words-1": F.col("words"), "pieces-1": F.col("pieces")})
 
-    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
-    rollup.commit("1-insert", inserts(versions(marked)))
-    rollup.commit("2-delete", deletes(versions(marked.where("not kept"))))
-    rollup.commit("3-revise", revisions(marked.where("kept").withColumn("version", F.lit("pieces-1")), "pieces", "revised"))
-    rollup.commit("2-delete", deletes(versions(marked.where("not kept"))))
+    with Scratch(spark) as scratch:
+        counts = scratch.written(docs.select("doc_id", "source", "lang", F.md5("text").alias("_text"), _count(WORDS).alias("words"), _count(PIECES).alias("pieces"), _count(REVISED).alias("revised")), "token-counts")
+        first = scratch.written(counts.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "token-copies")
+        # Both sides are shuffled by the join alone, so a text of very many copies is split between tasks.
+        kept = F.col("_first").isNull() | F.col("doc_id").eqNullSafe(F.col("_first"))
+        marked = scratch.written(counts.join(first, "_text", "left").withColumn("kept", kept), "token-marked")
+        rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+        rollup.commit("1-insert", inserts(versions(marked)))
+        rollup.commit("2-delete", deletes(versions(marked.where("not kept"))))
+        rollup.commit("3-revise", revisions(marked.where("kept").withColumn("version", F.lit("pieces-1")), "pieces", "revised"))
+        rollup.commit("2-delete", deletes(versions(marked.where("not kept"))))
     return rollup.totals()
 
 
