@@ -175,6 +175,16 @@ def lenient_json(text: Column) -> Column:
     return F.try_element_at(F.filter(F.array(fenced, text, inner), lambda c: F.json_object_keys(c).isNotNull()), F.lit(1))
 
 
+def json_error(text: Column) -> Column:
+    """Why lenient_json() finds no object: ``texto_vacio``, ``raiz_no_es_objeto`` (other JSON), ``sin_bloque`` (no braces) or ``no_parseable``; NULL where it finds one."""
+    fenced = F.nullif(F.trim(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)), F.lit(""))
+    body = F.coalesce(fenced, F.trim(text))
+    kind = F.schema_of_variant(F.try_parse_json(body))
+    braces = (F.instr(body, "{") > 0) & (F.length(F.substring_index(body, "}", -1)) < F.length(body)) & body.rlike(r"(?s)\{.*\}")
+    why = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "texto_vacio").when(kind.isNotNull(), "raiz_no_es_objeto").when(~braces, "sin_bloque").otherwise("no_parseable")
+    return F.when(lenient_json(text).isNull(), why)
+
+
 def _balanced(text: str | None) -> list[str] | None:
     if text is None:
         return None

@@ -232,16 +232,16 @@ def put(tree, tokens: list[str | int], value, pad: bool = False, replace: bool =
     return True
 
 
-class _Replayed:
+class Replayed:
     """A document while its changes come in."""
 
-    def __init__(self, key, document: str | None):
-        self.key, self.document, self.said = key, document, []
+    def __init__(self, key, document: str | None, changed: bool = False, said: list[str] | None = None):
+        self.key, self.document, self.said = key, document, said or []
         try:
             tree = json.loads(document) if document else {}
         except ValueError:
             tree = {}
-        self.tree, self.changed = tree if isinstance(tree, dict) else {}, False
+        self.tree, self.changed = tree if isinstance(tree, dict) else {}, changed
 
     def change(self, path: str, value: str | None, replace: bool) -> None:
         self.changed = True
@@ -255,8 +255,12 @@ class _Replayed:
         elif not put(self.tree, tokens, value, True, replace):
             self.said.append(f"CAMBIO_NO_APLICADO:{path}")
 
+    def text(self) -> str | None:
+        """The document as JSON; as it came where nothing was changed."""
+        return json.dumps(self.tree, ensure_ascii=False, separators=(",", ":")) if self.changed else self.document
+
     def row(self) -> tuple:
-        return self.key, self.document, json.dumps(self.tree, ensure_ascii=False, separators=(",", ":")), self.said
+        return self.key, self.document, self.text(), self.said
 
 
 def _fold(replace: bool):
@@ -274,7 +278,7 @@ def _fold(replace: bool):
                     for h in held:
                         h.change(path, value, replace)
                 else:
-                    held.append(_Replayed(k, document))
+                    held.append(Replayed(k, document))
             yield pd.DataFrame(out, columns=columns)
         yield pd.DataFrame([h.row() for h in held if h.changed], columns=columns)
 

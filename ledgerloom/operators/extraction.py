@@ -16,7 +16,8 @@ PAYMENT = [
 TOTALS = ["total", "subtotal", "base", "iva", "impuesto", r"importe\s*total", r"cuota\s*iva"]
 UTILITIES = ["suministro", "canon", "servicio", "agua", "luz", "gas"]
 DISCOUNT = ["dto", "descuento", "promocion", "cupon", "rebaja", "ahorro", "abono"]
-SUMMARY = ["total", "compra", "subtotal", "total compra", "importe total"]
+SUMMARY = ["total", "total de compra", "compra", "compras", "total compra", "subtotal"]
+SINGLE = ["total", "total de compra", "compra", "compras", "total compra"]
 
 
 def _any(words: list[str]) -> str:
@@ -30,13 +31,39 @@ def item_class(concept: Column) -> Column:
     return F.when(~plain.rlike(_any(DISCOUNT)), kind)
 
 
+#: What becomes of a line, in the order of the counts of a warning: paid with, a total, a utility's total, a repeated line that says total.
+CLASSES = ("pago", "total", "total_suministro", "repetido")
+
+
+def with_class(items: Column) -> Column:
+    """Items (structs with ``concepto``) as struct<x, clase>, each looked at once: its class of CLASSES, NULL if it is billed."""
+    name = lambda x: F.lower(F.trim(F.coalesce(x["concepto"], F.lit(""))))
+    classed = F.transform(items, lambda x: F.struct(x.alias("x"), name(x).alias("n"), item_class(F.coalesce(x["concepto"], F.lit(""))).alias("k")))
+
+    def repeated(c: Column, i: Column) -> Column:
+        before = F.exists(F.slice(classed, 1, i), lambda o: o["k"].isNull() & (o["n"] == c["n"]))
+        return c["k"].isNull() & c["n"].contains("total") & ~unaccent(c["n"]).rlike(_any(DISCOUNT)) & before
+
+    return F.transform(classed, lambda c, i: F.struct(c["x"].alias("x"), F.coalesce(c["k"], F.when(repeated(c, i), F.lit("repetido"))).alias("clase")))
+
+
 def drop_unbilled(items: Column) -> Column:
     """Items (structs with ``concepto``) without lines that aren't billed, and without repetitions of lines that say total."""
-    kept = F.filter(items, lambda x: item_class(F.coalesce(x["concepto"], F.lit(""))).isNull())
-    name = lambda x: F.lower(F.trim(F.coalesce(x["concepto"], F.lit(""))))
-    names = F.transform(kept, name)
-    again = lambda x, i: name(x).contains("total") & ~unaccent(name(x)).rlike(_any(DISCOUNT)) & (F.array_position(names, name(x)) <= i)
-    return F.filter(kept, lambda x, i: ~again(x, i))
+    return billed(with_class(items))
+
+
+def billed(classed: Column) -> Column:
+    """The items of with_class() that are billed."""
+    return F.transform(F.filter(classed, lambda c: c["clase"].isNull()), lambda c: c["x"])
+
+
+def unbilled_warning(classed: Column, total: Column) -> Column:
+    """What was dropped, by class, and how many of the total lines say the document's total within 0.05; NULL if nothing was."""
+    n = lambda k: F.size(F.filter(classed, lambda c: c["clase"] == k))
+    same = F.size(F.filter(classed, lambda c: (c["clase"] == "total") & F.coalesce(F.abs(numbers.amount(c["x"]["importe_total"]) - total) <= 0.05, F.lit(False))))
+    counts = [("pago", n("pago")), ("totales", n("total")), ("suministro", n("total_suministro")), ("total_coincidente", same), ("repetidos_total", n("repetido"))]
+    said = F.concat(F.lit("items_no_facturables_filtrados=1:"), F.concat_ws(",", *(F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in counts)))
+    return F.when(F.exists(classed, lambda c: c["clase"].isNotNull()), said)
 
 
 def class_counts(items: Column) -> Column:
@@ -46,9 +73,18 @@ def class_counts(items: Column) -> Column:
     return F.map_from_arrays(known, F.transform(known, lambda k: F.size(F.filter(classes, lambda c: c == k))))
 
 
+def _names(items: Column, words: list[str]) -> Column:
+    return F.exists(items, lambda x: F.lower(F.trim(F.coalesce(x["concepto"], F.lit("")))).isin(*words))
+
+
 def looks_summarised(items: Column) -> Column:
     """At most two items, and one of them names the whole purchase."""
-    return (F.size(items) <= 2) & F.exists(items, lambda x: F.lower(F.trim(x["concepto"])).isin(*SUMMARY))
+    return F.coalesce((F.size(items) <= 2) & _names(items, SUMMARY), F.lit(False))
+
+
+def single_summary(items: Column) -> Column:
+    """Exactly one item, and it names the whole purchase."""
+    return F.coalesce((F.size(items) == 1) & _names(items, SINGLE), F.lit(False))
 
 
 def split_code(value: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Per-series forecasts: two models compared on a holdout, the better refitted on all months.
+"""Per-series forecasts: seasonal ARIMA and Holt-Winters compared on a holdout, the better refitted on all months.
 
 Every series is a group of its own, so series are fitted apart on the executors; a series is one number a month.
 """
@@ -13,54 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HORIZON, TEST, LEAST, SEASON = 6, 6, 12, 12
-
-
-def smooth(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Additive Holt, with a season of 12 months from 24 months on; the weights with the least squared error of a grid."""
-    season = SEASON if len(y) >= 2 * SEASON else 0
-    best, out = np.inf, np.full(horizon, y[-1])
-    for a in (0.1, 0.3, 0.5, 0.8):
-        for b in (0.0, 0.1, 0.3):
-            for g in (0.1, 0.3) if season else (0.0,):
-                level, trend = (y[:season].mean(), (y[season : 2 * season].mean() - y[:season].mean()) / season) if season else (y[0], 0.0)
-                s = list(y[:season] - level) if season else []
-                error = 0.0
-                for t in range(season, len(y)):
-                    old = s[t - season] if season else 0.0
-                    error += (y[t] - level - trend - old) ** 2
-                    before, level = level, a * (y[t] - old) + (1 - a) * (level + trend)
-                    trend = b * (level - before) + (1 - b) * trend
-                    if season:
-                        s.append(g * (y[t] - level) + (1 - g) * old)
-                if error < best:
-                    best = error
-                    out = np.array([level + (h + 1) * trend + (s[len(y) - season + h % season] if season else 0.0) for h in range(horizon)])
-    return out
-
-
-def autoregress(y: np.ndarray, horizon: int) -> np.ndarray:
-    """An autoregression of the levels or first differences, of the order (up to 3) with the least AIC."""
-    best, out = np.inf, np.full(horizon, y[-1])
-    for d in (0, 1):
-        z = np.diff(y, n=d)
-        for p in range(4):
-            n = len(z) - 3
-            if n <= p + 2:
-                continue
-            x = np.column_stack([np.ones(n), *(z[3 - k : len(z) - k] for k in range(1, p + 1))])
-            w, *_ = np.linalg.lstsq(x, z[3:], rcond=None)
-            aic = n * np.log(max(((z[3:] - x @ w) ** 2).mean(), 1e-12)) + 2 * (p + 1 + d)
-            if aic < best:
-                past, steps = list(z), []
-                for _ in range(horizon):
-                    steps.append(float(w[0] + sum(w[k] * past[-k] for k in range(1, p + 1))))
-                    past.append(steps[-1])
-                best, out = aic, np.array(steps) if d == 0 else y[-1] + np.cumsum(steps)
-    return out
-
-
-MODELS = {"AUTOREGRESIVO": autoregress, "HOLT_WINTERS": smooth}
+from ledgerloom.operators import seasonal
+
+HORIZON, TEST, LEAST = 6, 6, 12
+#: Months from which a series may have a season.
+SEASONAL_FROM = 24
+
+
+#: Models by name; the winner of the holdout is refitted on all months.
+MODELS = {"AUTOARIMA": seasonal.arima, "HOLT_WINTERS": seasonal.holt_winters}
+autoregress, smooth = seasonal.arima, seasonal.holt_winters
 
 
 def future_months(last: datetime.date, horizon: int = HORIZON, current: datetime.date | None = None) -> list[datetime.date]:
@@ -90,9 +52,10 @@ def _fit(keys: list[str], month: str, value: str, current: datetime.date | None
         if tail.max() > 1e-9 and tail.var(ddof=1) < 1e-6:
             name, values, mae = "DETERMINISTA", np.full(HORIZON, y[-1]), float(np.abs(y[-TEST:] - y[-TEST - 1]).mean())
         else:
-            errors = {m: float(np.abs(f(y[:-TEST], TEST) - y[-TEST:]).mean()) for m, f in MODELS.items()}
+            season = seasonal.SEASON if len(y) >= SEASONAL_FROM else 1
+            errors = {m: float(np.abs(f(y[:-TEST], TEST, season) - y[-TEST:]).mean()) for m, f in MODELS.items()}
             name = min(errors, key=errors.get)
-            values, mae = MODELS[name](y, HORIZON), errors[name]
+            values, mae = MODELS[name](y, HORIZON, season), errors[name]
         months = future_months(pd.Timestamp(last).date(), HORIZON, current)
         return pd.DataFrame([head | {"modelo": name, "paso": i + 1, "mes": m, "valor": round(float(v), 2), "mae": round(mae, 4)} for i, (m, v) in enumerate(zip(months, values, strict=True))])
 

@@ -23,8 +23,10 @@ def latest_or_any(rows: DataFrame, keys: list[str], order: list[str], ok: str) -
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The current rows with those of the same key replaced by the changes, and new ones added."""
-    return current.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+    """The current rows with those of the same key replaced by the changes, and new ones added; null keys are keys."""
+    new = changes.select(*(F.col(k).alias(f"_new_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
+    return current.join(new, same, "left_anti").unionByName(changes)
 
 
 def replace_children(children: DataFrame, new: DataFrame, parent: str, touched: DataFrame) -> DataFrame:

@@ -35,10 +35,14 @@ def _given(*warnings: Column) -> Column:
 
 def parse(answer: Column) -> Column:
     """The answer's JSON object as a document that may have other names and extra fields; a part of a wrong type is NULL."""
+    return _document(text.lenient_json(answer))
+
+
+def _document(found: Column) -> Column:
     names = sorted({n for ns in TAX_NAMES.values() for n in ns})
     rows = "ARRAY<STRUCT<tipo_impuesto: STRING, base_imponible: STRING, importe: STRING, " + ", ".join(f"{n}: STRING" for n in names) + ">>"
     schema = f"empresa STRING, fecha STRING, items {_ITEMS}, totales STRUCT<descuento_total: STRING, total: STRING, {', '.join(f'{n}: STRING' for n in TOTAL_NAMES)}>, impuestos STRUCT<iva_incluido_en_precios: BOOLEAN, mapa_codigo_impuesto: MAP<STRING, STRING>, resumen_impuestos: {rows}>"
-    return F.from_json(text.lenient_json(answer), schema)
+    return F.from_json(found, schema)
 
 
 def totals(found: Column) -> Column:
@@ -92,10 +96,11 @@ def with_codes(items: Column, code) -> Column:
 def postprocess(rows: DataFrame, answer: str = "respuesta") -> DataFrame:
     """Adds ``extraido`` (the document, NULL where the answer has no JSON object) and ``avisos_extraccion``."""
     said, size = F.col(answer), lambda c: F.coalesce(F.size(c), F.lit(0))
-    out = rows.withColumn("_d", parse(said))
+    out = rows.withColumn("_json", text.lenient_json(said)).withColumn("_d", _document(F.col("_json")))
     d = F.col("_d")
     out = out.withColumns({"_why": told_company(d["items"], said), "_items": split_codes(d["items"]), "_legend": extraction.tax_legend(said), "_lines": extraction.tax_summary(said), "_rows": tax_rows(d["impuestos"]["resumen_impuestos"]), "_codes": tax_codes(d["impuestos"]["mapa_codigo_impuesto"])})
-    out = out.withColumns({"_kept": extraction.drop_unbilled(F.col("_items"))})
+    out = out.withColumn("_classed", extraction.with_class(F.col("_items")))
+    out = out.withColumn("_kept", extraction.billed(F.col("_classed")))
     out = out.withColumn("_kept", with_codes(F.col("_kept"), lambda x: extraction.spurious_code(x["concepto"], x["codigo_impuesto"])))
     merged = F.when(size("_legend") > 0, F.map_concat(F.map_filter(F.coalesce("_codes", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(F.col("_legend"), k)), "_legend")).otherwise(F.col("_codes"))
     out = out.withColumn("_codes", merged)
@@ -109,19 +114,25 @@ def postprocess(rows: DataFrame, answer: str = "respuesta") -> DataFrame:
     other = F.coalesce(d["empresa"], F.lit("")) != TOLD_COMPANY
     document = F.struct(F.when(F.col("_why").isNotNull(), F.lit(TOLD_COMPANY)).otherwise(_known(d["empresa"])).alias("empresa"), _known(d["fecha"]).alias("fecha"), inferred.alias("items"), totals(d["totales"]).alias("totales"), taxes.alias("impuestos"))
     counted = lambda name, n: F.when(n > 0, F.concat(F.lit(f"{name}="), n.cast("string")))
-    same = F.size(F.filter("_items", lambda x: extraction.item_class(F.coalesce(x["concepto"], F.lit(""))).isNotNull() & (F.abs(extraction.numbers.amount(x["importe_total"]) - extraction.numbers.amount(totals(d["totales"])["total"])) <= 0.05)))
     warnings = _given(
         F.when(F.col("_why").isNotNull() & other, F.concat(F.lit("regla_empresa:"), F.col("_why"))),
         counted("codigos_separados", F.size(F.filter("_items", lambda x: x["codigo_impuesto"].isNotNull())) - F.size(F.filter(d["items"], lambda x: F.trim(F.coalesce(x["codigo_impuesto"], F.lit(""))) != ""))),
-        counted("items_no_facturables", size("_items") - size("_kept")),
-        counted("no_facturables_iguales_al_total", F.coalesce(same, F.lit(0))),
+        extraction.unbilled_warning(F.col("_classed"), extraction.numbers.amount(totals(d["totales"])["total"])),
         counted("resumen_descartado", size(d["impuestos"]["resumen_impuestos"]) - size("_rows")),
         F.when(F.col("_codes").isNotNull() & F.col("_useful").isNull(), F.lit("mapa_eliminado")),
         total_warning(d["totales"]),
+        _wrong_kind(F.col("_json"), "totales"),
+        _wrong_kind(F.col("_json"), "impuestos"),
     )
     return out.select(*rows.columns, F.when(d.isNotNull(), document).alias("extraido"), F.when(d.isNotNull(), warnings).otherwise(F.array(F.lit("sin_json"))).alias("avisos_extraccion"))
 
 
+def _wrong_kind(found: Column, name: str) -> Column:
+    """A warning where the answer's totals or taxes are no object; they are read as missing."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(found), f"$.{name}", "variant"))
+    return F.when(~kind.startswith("OBJECT") & (kind != "VOID"), F.lit(f"{name}_mal_tipo_eliminado=1"))
+
+
 def missing_from(first: Column, second: Column) -> Column:
     """A document with what it lacks taken from another extraction: company, date, totals by key, the tax block by key and, inside it, codes of the map."""
     pick = lambda name: F.coalesce(_known(first[name]), _known(second[name])).alias(name)

@@ -46,8 +46,8 @@ def looks_like_template(answer: Column, doc: Column) -> Column:
 
 
 def retry(errors: Column, template: Column) -> Column:
-    """Whether an extraction is tried again with more room: it repeats the template, or company, date, total or all items are missing (codes of documents.conformance)."""
-    again = F.array(*map(F.lit, ("falta:empresa", "falta:fecha", "falta:totales.total", "vacia:items", "falta:items")))
+    """Whether an extraction is tried again with more room: it repeats the template, or company, date or total are missing, or there is no item (codes of json_schema.violations)."""
+    again = F.array(*map(F.lit, ("falta:empresa", "falta:fecha", "falta:totales.total", "vacia:items")))
     return F.coalesce(template, F.lit(False)) | F.coalesce(F.arrays_overlap(errors, again), F.lit(False))
 
 

@@ -69,12 +69,19 @@ def fallback_label(category: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FALLBACK_BY_CATEGORY.items() for x in kv]), category), F.lit("otros_sin_regla"))
 
 
-def decide(rule_label: Column, model: Column, confidence: Column, allowed: list[str], least: float = 0.6) -> Column:
-    """struct<categoria, ok, aviso>: a specific rule wins, else the model's class if it is allowed."""
-    specific = rule_label != "otros_sin_regla"
-    kind = F.when(model.isin(allowed), model).otherwise(F.lit("otros"))
-    return F.struct(
-        F.when(specific, rule_label).otherwise(kind).alias("categoria"),
-        (specific | F.coalesce(confidence >= least, F.lit(False))).alias("ok"),
-        F.when(specific & (rule_label != kind), F.lit("REGLA_PREVALECE")).when(~specific & ~F.coalesce(confidence >= least, F.lit(False)), F.lit("CONFIANZA_BAJA")).alias("aviso"),
-    )
+#: The categories that a document may have.
+CATEGORIES = ("alimentacion", "hogar_servicios_suscripciones", "consumo_personal_hogar", "salud", "restauracion_ocio", "educacion", "otros")
+
+
+def decide(rule_category: Column, rule_label: Column, model: Column, confidence: Column, least: float = 0.6, other: str = "otros") -> Column:
+    """struct<categoria, etiqueta, ok, avisos>: a specific rule's category and public label, else the model's category; one that is not of CATEGORIES is ``other``.
+
+    It is ok with a specific rule or a confidence of ``least``. Warnings: ``confianza_baja``, also beside a rule, and ``post_clasificacion_por_reglas`` where a rule's category
+    differs from the model's.
+    """
+    public, said = public_label(rule_label, other), F.coalesce(model, F.lit(other))
+    specific, sure = public["especifica"], F.coalesce(confidence >= least, F.lit(False))
+    allowed = lambda c: F.when(c.isin(*CATEGORIES), c).otherwise(F.lit(other))
+    category = F.when(specific, allowed(rule_category)).otherwise(allowed(said))
+    warnings = F.array(F.when(~sure, F.lit("confianza_baja")), F.when(specific & (category != said), F.lit("post_clasificacion_por_reglas")))
+    return F.struct(category.alias("categoria"), public["publica"].alias("etiqueta"), (specific | sure).alias("ok"), F.filter(warnings, lambda w: w.isNotNull()).alias("avisos"))

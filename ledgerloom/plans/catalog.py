@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers, text
 from ledgerloom.operators import forecast, history, ledger, rules
-from ledgerloom.plans import document_queries, process_queries
+from ledgerloom.plans import document_queries, json_queries, process_queries
 from ledgerloom.plans.domain import UNTIL, view, with_views
 from ledgerloom.session import read_table, scratch_path
 from ledgerloom.streaming import incremental
@@ -332,6 +332,6 @@ def stream_latest_state(spark, d):
     return incremental.current(spark, path).select("id_documento", "id_normalizacion", "ok", "valor")
 
 
-for part in (document_queries, process_queries):
+for part in (document_queries, process_queries, json_queries):
     QUERIES.update(part.QUERIES)
     SQL.update(part.SQL)

@@ -232,8 +232,10 @@ def answers(spark, d):
     n, k = F.col("l_linenumber"), F.col("l_orderkey")
     concept = F.when(n == 2, "TARJETA VISA").when(n == 3, "TOTAL").when((n == 4) & (k % 5 == 0), "Envío").otherwise(F.concat(F.lit("pieza "), F.col("l_partkey").cast("string")))
     price = F.replace(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+    # Every seventh order's total line, and its payment, say its total.
+    price = F.when(n.isin(2, 3) & (k % 7 == 0), F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))).otherwise(price)
     line = F.struct(concept.alias("concepto"), F.lit("1").alias("unidades"), F.concat(price, F.when(n == 1, " a").otherwise("")).alias("importe_total"))
-    lines = read_table(spark, d, "lineitem").groupBy(k.alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda s: s["x"]).alias("items"))
+    lines = read_table(spark, d, "lineitem").join(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), k == F.col("o_orderkey")).groupBy(k.alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda s: s["x"]).alias("items"))
     o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("t")).join(lines, "id")
     odd = F.col("id") % 2 == 1
     doc = F.struct(
@@ -245,21 +247,21 @@ def answers(spark, d):
     return o.select("id", F.when(F.col("id") % 19 == 0, "no se ve nada").otherwise(said).alias("respuesta"))
 
 
-_ANSWERS = """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_orderkey % 5 = 0 AND l_linenumber = 4 AS envio FROM lineitem),
-g AS (SELECT id, count(*) FILTER (n NOT IN (2, 3)) AS lineas, bool_or(envio) AS envio, count(*) FILTER (n IN (2, 3)) AS fuera, count(*) FILTER (n = 1) AS uno FROM l GROUP BY id),
+_ANSWERS = """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_orderkey % 5 = 0 AND l_linenumber = 4 AS envio, l_linenumber = 3 AND (l_orderkey % 7 = 0 OR abs(CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.05) AS coincide FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+g AS (SELECT id, count(*) FILTER (n NOT IN (2, 3)) AS lineas, bool_or(envio) AS envio, count(*) FILTER (n IN (2, 3)) AS fuera, count(*) FILTER (n = 2) AS pagos, count(*) FILTER (n = 3) AS totales, count(*) FILTER (coincide) AS coinciden, count(*) FILTER (n = 1) AS uno FROM l GROUP BY id),
 a AS (SELECT *, id % 19 <> 0 AS bien FROM g JOIN orders ON o_orderkey = id) """
 
 
 @query(_ANSWERS + """SELECT id, CASE WHEN bien THEN CASE WHEN envio THEN 'Amazon' ELSE 'Cliente ' || o_custkey END END AS empresa, CAST(CASE WHEN bien THEN lineas END AS BIGINT) AS lineas, CASE WHEN bien THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS total,
  CASE WHEN bien AND uno > 0 THEN 'A' END AS codigo, CASE WHEN bien AND uno > 0 THEN 'IVA 21%' END AS a, CASE WHEN bien THEN true END AS incluido, CASE WHEN bien THEN 'IVA 21%:9,00:0,90' END AS resumen,
- CASE WHEN bien THEN concat_ws(',', CASE WHEN envio THEN 'regla_empresa:envio' END, CASE WHEN uno > 0 THEN 'codigos_separados=' || uno END, CASE WHEN fuera > 0 THEN 'items_no_facturables=' || fuera END, CASE WHEN id % 2 = 0 THEN 'resumen_descartado=1' END, CASE WHEN uno = 0 THEN 'mapa_eliminado' END, CASE WHEN id % 2 = 0 THEN 'totales_mapeado:total_pagar->total' END) ELSE 'sin_json' END AS avisos FROM a""")
+ CASE WHEN bien THEN concat_ws(',', CASE WHEN envio THEN 'regla_empresa:envio' END, CASE WHEN uno > 0 THEN 'codigos_separados=' || uno END, CASE WHEN fuera > 0 THEN 'items_no_facturables_filtrados=1:pago=' || pagos || ',totales=' || totales || ',suministro=0,total_coincidente=' || coinciden || ',repetidos_total=0' END, CASE WHEN id % 2 = 0 THEN 'resumen_descartado=1' END, CASE WHEN uno = 0 THEN 'mapa_eliminado' END, CASE WHEN id % 2 = 0 THEN 'totales_mapeado:total_pagar->total' END) ELSE 'sin_json' END AS avisos FROM a""")
 def postprocess_answers(spark, d):
     """The whole post-processing of answers as one chain: company rule, tax codes, unbilled lines, texts beside the JSON, other names, placeholders."""
     p = postprocess.postprocess(answers(spark, d))
     x = F.col("extraido")
     first = F.try_element_at(x["items"], F.lit(1))
     rows = F.array_join(F.transform(x["impuestos"]["resumen_impuestos"], lambda r: F.concat_ws(":", r["tipo_impuesto"], r["base_imponible"], r["importe"])), ",")
-    said = F.filter("avisos_extraccion", lambda w: ~w.startswith("no_facturables_iguales"))
+    said = F.col("avisos_extraccion")
     return p.select("id", x["empresa"].alias("empresa"), F.when(x.isNotNull(), F.size(x["items"])).cast("long").alias("lineas"), numbers.amount(x["totales"]["total"]).alias("total"), first["codigo_impuesto"].alias("codigo"), x["impuestos"]["mapa_codigo_impuesto"]["A"].alias("a"), x["impuestos"]["iva_incluido_en_precios"].alias("incluido"), rows.alias("resumen"), F.array_join(said, ",").alias("avisos"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import clean_file_name
+from ledgerloom.operators.history import upsert
+from ledgerloom.streaming.buckets import BucketTable
 
 #: Formats by mime type and by extension.
 BY_MIME = {"image/jpeg": "JPG", "image/png": "PNG", "application/pdf": "PDF"}
@@ -22,7 +24,7 @@ def _known(table: dict[str, str], c: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as path, size and bytes, with name, extension and the mime type that the extension suggests."""
+    """Files as path, size and bytes, with name, extension and the mime type that the extension suggests. Spark's reader leaves out files without bytes."""
     raw = spark.read.format("binaryFile").load(path)
     name = clean_file_name(F.col("path"))["nombre"]
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -91,9 +93,42 @@ def append_history(rows: DataFrame, path: str, day: str) -> None:
     rows.withColumn("dia", F.to_date(day)).write.mode("append").partitionBy("dia").parquet(path)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8) -> DataFrame:
-    """A SQL query's result, read in parts where a column and its bounds are given."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q")
-    if column and bounds:
-        reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    return reader.load()
+def upsert_table(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> int:
+    """Upserts rows into the table at a path: rows of their keys are replaced, others stay, and only the buckets of their keys are rewritten. A
+    version counts when its record is written, so readers see all of an upsert or nothing, and the same upsert again changes nothing. Returns the buckets written.
+
+    Null keys are keys; a key that the rows hold twice is an error. There is one writer at a time.
+    """
+    rows = rows.persist()
+    try:
+        if rows.groupBy(*keys).count().where("count > 1").limit(1).count():
+            raise ValueError(f"rows of one upsert must differ in {keys}")
+        table = BucketTable(rows.sparkSession, path, keys, buckets)
+        number = (table.versions() or [-1])[-1] + 1
+        return table.apply(number, rows, lambda before, new: new if before is None else upsert(before.select(*new.columns), new, keys))
+    finally:
+        rows.unpersist()
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of upsert_table(); None before the first."""
+    return BucketTable(spark, path, []).read()
+
+
+def jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, options: dict[str, str] | None = None) -> DataFrame:
+    """A SQL query's result. With a column of whole numbers (quoted as the database wants it) it is read in that many parts at once, and in one more
+    for null keys; without bounds one query asks for the least and the largest number. Rows beyond given bounds are in the first and the last part.
+    """
+    given = {"url": url, "driver": "", **(options or {})}
+    given = {k: v for k, v in given.items() if v}
+    if not column:
+        return spark.read.format("jdbc").options(**given).option("query", query).load()
+    if bounds is None:
+        found = spark.read.format("jdbc").options(**given).option("query", f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM ({query}) q").load().first()
+        bounds = (int(found[0]), int(found[1])) if found[0] is not None else (0, 0)
+    low, high = bounds
+    n = max(1, min(parts, high - low + 1))
+    cuts = [low + (high - low + 1) * i // n for i in range(1, n)]
+    ranges = [" AND ".join(filter(None, (f"{column} >= {a}" if a is not None else "", f"{column} < {b}" if b is not None else ""))) or f"{column} IS NOT NULL" for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+    properties = {k: v for k, v in given.items() if k != "url"}
+    return spark.read.jdbc(url, f"({query}) q", predicates=[*ranges, f"{column} IS NULL"], properties=properties)

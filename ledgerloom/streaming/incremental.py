@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.history import latest, upsert
+from ledgerloom.streaming.buckets import BucketTable
+
+#: Hash buckets of a sink's table.
+BUCKETS = 256
 
 
 def monthly_totals(stream: DataFrame, day: str, value: str, keys: list[str], delay: str = "45 days") -> DataFrame:
@@ -24,53 +28,37 @@ def late_rows(query) -> int:
     return sum(map(sum, batches.values()))
 
 
-def replace_sink(spark: SparkSession, path: str, keys: list[str]):
-    """A foreachBatch function that keeps the newest totals of each key, as versions under ``path``; for update mode."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        before = current(spark, path, number)
-        merged = batch if before is None else upsert(before.select(*batch.columns), batch, keys)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
-        _forget(spark, path, number)
-
-    return write
-
-
-def _versions(spark: SparkSession, path: str):
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-    return fs, {int(p.getName().split("=")[1]): p for p in folders if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+def replace_sink(spark: SparkSession, path: str, keys: list[str], buckets: int = BUCKETS):
+    """A foreachBatch function that keeps the newest totals of each key under ``path``; for update mode. A batch rewrites the buckets that its keys fall in."""
+    table = BucketTable(spark, path, keys, buckets)
+    return _sink(table, lambda before, batch: batch if before is None else upsert(before.select(*batch.columns), batch, keys))
 
 
-def _forget(spark: SparkSession, path: str, number: int) -> None:
-    """Deletes versions that neither readers of the newest two nor a replay of the batch ``number`` need."""
-    fs, found = _versions(spark, path)
-    for n in sorted(n for n in found if n < number)[:-1]:
-        fs.delete(found[n], True)
+def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = BUCKETS):
+    """A foreachBatch function that keeps the latest row of each key under ``path``. A batch rewrites the buckets that its keys fall in; readers take the last
+    complete version with current(); a replayed batch gives the same state."""
 
+    def merge(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = latest(batch, keys, order)
+        return rows if before is None else latest(before.select(*rows.columns).unionByName(rows), keys, order)
 
-def latest_sink(spark: SparkSession, path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function that keeps the latest row of each key as a version a batch under ``path``.
+    return _sink(BucketTable(spark, path, keys, buckets), merge)
 
-    A version is a folder; a replayed batch writes its own folder again, from the version before it, so the result is the
-    same. Readers take the last complete version with current().
-    """
 
+def _sink(table: BucketTable, merge):
     def write(batch: DataFrame, number: int) -> None:
-        before = current(spark, path, number)
-        rows = latest(batch, keys, order)
-        merged = rows if before is None else latest(before.select(*rows.columns).unionByName(rows), keys, order)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
-        _forget(spark, path, number)
+        batch = batch.persist()  # it is read for its buckets and for its rows; a stateful query is not run twice
+        try:
+            table.apply(number, batch, merge)
+        finally:
+            batch.unpersist()
 
     return write
 
 
 def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last complete version (below a number), or None."""
-    done = sorted(n for n in _versions(spark, path)[1] if before is None or n < before)
-    return spark.read.parquet(f"{path}/version={done[-1]:012d}") if done else None
+    """The rows of the last complete version (below a number), or None."""
+    return BucketTable(spark, path, []).read(before)
 
 
 def run_available(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
@@ -84,9 +72,3 @@ def new_files(spark: SparkSession, path: str, delay: str = "7 days") -> DataFram
     """A stream of files as they arrive, each path once within the delay; the checkpoint remembers what was read."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path"])
-
-
-def replay_sink(spark: SparkSession, path: str, key: str, order: list[str]):
-    """A foreachBatch function that keeps the last change of each document and path (``campo``) under ``path``, so that
-    documents.replay over current() gives the documents as of the last batch."""
-    return latest_sink(spark, path, [key, "campo"], order)
