@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +48,8 @@ from ledgerloom.session import Scratch, text_batches, written
 SAMPLE_MOST, SEEN, LAST = 10_000, 3, 100_000
 #: Neighbours that a class takes in a task; then a later class takes over.
 NEIGHBOURS = 500
-#: Candidates of a shard.
-SHARD = 1_500
+#: Candidates of a shard, and bytes of their packed texts, on average.
+SHARD, SHARD_BYTES = 1_500, 8_000_000
 #: Labels of a signature that are searched pair by pair; with more, its classes are joined in blocks.
 LABELS = 30
 #: Classes whose ids are broadcast to pick their texts; more are joined by shuffle.
@@ -335,19 +335,35 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
 
 
+def _cut(n: Column) -> Column:
+    """Parts for n neighbours: a power of two, so that signatures of like sizes agree."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), n / NEIGHBOURS)))).cast("long")
+
+
+def _near(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Neighbours (rep, x) that tasks have met, with the part of the rep: a class that many tasks hold has many neighbours, which are cut like those of a signature.
+
+    They are counted before any shuffle, and only the classes with more than NEIGHBOURS of them are joined with.
+    """
+    hot = scratch.written(pairs.groupBy("rep").agg(F.count("*").alias("_n")).where(F.col("_n") > NEIGHBOURS), "jaccard-hot")
+    joined = pairs.join(_few(hot), "rep", "left")
+    return joined.select("rep", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("x"), _cut(F.col("_n")))).cast("long").alias("part"), "x")
+
+
 def link_classes(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
     """``class`` and ``label`` (a class of its component, the same for all) of the linked classes of the rows of shingle_sets(); None if nothing may be linked."""
     texts = rows.where("z is not null")
     spread = texts.select("x", F.explode("fresh").alias("sig"))
     w = Window.partitionBy("sig")
     star = spread.select("x", F.min("x").over(w).alias("rep"), F.count("*").over(w).alias("_n")).where("x <> rep")
-    cut = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_n") / NEIGHBOURS)))).cast("long")  # a power of two, so that signatures of like sizes agree
-    star = star.select("rep", F.pmod(F.xxhash64("x"), cut).alias("part"), "x")
-    pairs = scratch.written(star.union(texts.select(F.explode("near").alias("rep"), F.lit(0).cast("long").alias("part"), "x")).distinct(), "jaccard-pairs")
+    star = star.select("rep", F.pmod(F.xxhash64("x"), _cut(F.col("_n"))).alias("part"), "x")
+    pairs = scratch.written(star.union(_near(texts.select(F.explode("near").alias("rep"), "x"), scratch)).distinct(), "jaccard-pairs")
     count = pairs.count()
     if not count:
         return None
-    shard = F.pmod(F.xxhash64("rep", "part"), F.lit(-(-count // SHARD))).alias("shard")
+    size = texts.agg(F.avg(F.length("z"))).first()[0]
+    shards = max(-(-count // SHARD), int(count * size / SHARD_BYTES) + 1)
+    shard = F.pmod(F.xxhash64("rep", "part"), F.lit(shards)).alias("shard")
     members = scratch.written(pairs.select(shard, "x").union(pairs.select(shard, F.col("rep").alias("x"))).distinct(), "jaccard-members")
     live = _few(scratch.written(members.select("x").distinct(), "jaccard-live"))
     texts = scratch.written(texts.join(live, "x", "left_semi").select("class", "x", "z", F.concat("fresh", "signed").alias("signed")).dropDuplicates(["class"]), "jaccard-texts")
