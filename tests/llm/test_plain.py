@@ -61,9 +61,9 @@ def test_languages_of_odd_rows(spark):
     assert language_id.learn(docs.limit(0))[0] == []
 
 
-def test_window_gains_are_of_single_compressions():
+def test_window_gains_are_of_single_compressions(spark):
     """Statistics of a text are those of its windows, each compressed apart with either dictionary."""
-    contents = toxicity.train_dictionaries([["vile", "awful", "day"]] * 8, [["kind", "calm", "day"]] * 8)
+    contents = toxicity.train_dictionaries(spark.createDataFrame([(1, "vile awful day")] * 8 + [(0, "kind calm day")] * 8, "_label int, _text string"), 8, 8)
     windows = toxicity.Windows(*contents)
     text = "a vile and awful day, kind and calm people"
     words = toxicity.words_of(text)
