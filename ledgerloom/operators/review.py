@@ -60,6 +60,33 @@ def route(extracted: Column, errors: Column) -> Column:
     return F.struct(action.alias("accion"), F.when(~ok, "extraccion_ko").when(F.size(errors) > 0, F.coalesce(first, F.lit("validacion_nok"))).alias("motivo"))
 
 
+#: Fixed value: the document that a person fills in where nothing was extracted.
+EMPTY_DRAFT = '{"empresa":"","fecha":"","items":[],"totales":{"descuento_total":null,"total":null},"impuestos":{"iva_incluido_en_precios":false,"resumen_impuestos":[],"mapa_codigo_impuesto":{}}}'
+
+
+def normalisation_rows(rows: DataFrame, key: str, extracted: str, asked: str, form: str, ok: str, document: str, warnings: str) -> DataFrame:
+    """The next row of the normalisation history of each document, and why a person is asked (again): ``motivo``, NULL where the document goes on.
+
+    Columns of the rows: whether the extraction was ok, whether a person was ``asked``, the ``form`` that came back (JSON text, NULL if none was found), and of the normalised
+    form or extraction whether it is ok, its document and its warnings. A failed extraction is an empty draft until a form comes back; a form that does not
+    normalise is kept as a draft. An extracted document is kept as it is normalised.
+    """
+    drawn, was_asked, good = (F.coalesce(F.col(c), F.lit(False)) for c in (extracted, asked, ok))
+    said = F.coalesce(F.col(warnings), F.array().cast("array<string>"))
+    first, lost = ~drawn & ~was_asked, ~drawn & was_asked & F.col(form).isNull()
+    again = ~drawn & ~first & ~lost & ~good
+    error = F.when(first, "extraccion_ko").when(lost, "documento_no_encontrado").when(~good, "normalizacion_ko")
+    return rows.select(
+        key,
+        (~first & ~lost & good).alias("ok_normalizacion"),
+        F.when(first | lost, F.lit(EMPTY_DRAFT)).when(again, F.col(form)).otherwise(F.col(document)).alias("documento_normalizado_json"),
+        F.when(first, F.array(F.lit("EXTRACCION_NOK_BORRADOR"))).when(lost, F.array(F.lit("BORRADOR_SIN_DATOS"))).otherwise(said).alias("avisos"),
+        error.alias("error_mensaje"),
+        F.when(first | lost | again, "W5_BORRADOR").otherwise("W4").alias("version_modulo"),
+        F.when(again, F.coalesce(F.get(said, F.lit(0)), F.lit("normalizacion_ko"))).when(first | lost, error).alias("motivo"),
+    )
+
+
 def rebuild(base: DataFrame, key: str, items: DataFrame, codes: DataFrame, summary: DataFrame, order: str = "linea") -> DataFrame:
     """Nested documents from flat rows: ``items`` in ``order`` without null fields or empty rows, the map of tax ``codes`` (codigo_impuesto, valor) and the tax ``summary``.
 

@@ -203,3 +203,38 @@ def upcoming_months(spark, d):
     """Months from the current one on."""
     months = view(spark, d, "tickets").groupBy(F.trunc("fecha", "MM").alias("mes")).agg(F.count("*").alias("n"), F.sum("total").cast("decimal(18,2)").alias("total"))
     return forecast.upcoming(months, "mes", F.lit("1996-05-17").cast("date"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS c FROM orders)
+SELECT id, c IN (2, 4) AS ok, CASE c WHEN 0 THEN 'vacio' WHEN 1 THEN 'vacio' WHEN 3 THEN 'formulario ' || id WHEN 5 THEN 'normalizado ' || id ELSE 'normalizado ' || id END AS documento,
+ CASE c WHEN 0 THEN 'EXTRACCION_NOK_BORRADOR' WHEN 1 THEN 'BORRADOR_SIN_DATOS' WHEN 3 THEN CASE WHEN id % 12 = 3 THEN 'FECHA_NO_PARSEABLE:fecha' ELSE '' END ELSE '' END AS avisos,
+ CASE c WHEN 0 THEN 'extraccion_ko' WHEN 1 THEN 'documento_no_encontrado' WHEN 3 THEN 'normalizacion_ko' WHEN 5 THEN 'normalizacion_ko' END AS error, CASE WHEN c IN (0, 1, 3) THEN 'W5_BORRADOR' ELSE 'W4' END AS version,
+ CASE c WHEN 0 THEN 'extraccion_ko' WHEN 1 THEN 'documento_no_encontrado' WHEN 3 THEN CASE WHEN id % 12 = 3 THEN 'FECHA_NO_PARSEABLE:fecha' ELSE 'normalizacion_ko' END END AS motivo FROM o""")
+def draft_rows(spark, d):
+    """Rows of the normalisation history around failed extractions and forms: empty drafts, lost forms, forms that do not normalise."""
+    k, c = F.col("id"), F.col("id") % 6
+    o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).select(
+        "id", (c >= 4).alias("extraido"), (c > 0).alias("preguntado"), F.when(c.isin(2, 3), F.concat(F.lit("formulario "), k.cast("string"))).alias("formulario"), c.isin(2, 4).alias("bien"),
+        F.concat(F.lit("normalizado "), k.cast("string")).alias("doc"), F.when(k % 12 == 3, F.array(F.lit("FECHA_NO_PARSEABLE:fecha"))).alias("dicho"),
+    )
+    rows = review.normalisation_rows(o, "id", "extraido", "preguntado", "formulario", "bien", "doc", "dicho")
+    text_ = F.col("documento_normalizado_json")
+    return rows.select("id", F.col("ok_normalizacion").alias("ok"), F.when(text_ == review.EMPTY_DRAFT, "vacio").otherwise(text_).alias("documento"), F.array_join("avisos", ",").alias("avisos"), F.col("error_mensaje").alias("error"), F.col("version_modulo").alias("version"), "motivo")
+
+
+@query("SELECT event_id AS id, event_id % 5 > 0 AS cortado FROM events")
+def truncated_answers(spark, d):
+    """Answers that were cut off: without a last brace, with open braces, with an odd number of quotes."""
+    whole = F.concat(F.lit('{"a":"'), "event_type", F.lit('","b":{"c":1}} '))
+    made = F.element_at(F.array(whole, F.concat(F.lit('{"a":"'), "event_type"), F.lit('{"b":{"c":1} '), F.lit('{"a":"x}'), F.lit("")), (F.col("event_id") % 5 + 1).cast("int"))
+    return read_table(spark, d, "events").select(F.col("event_id").alias("id"), text.truncated(made).alias("cortado"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS linea, CASE l_partkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'ZZ' END AS codigo, CASE WHEN l_linenumber <> 3 THEN '3' END AS propio FROM lineitem""")
+def inferred_codes(spark, d):
+    """Tax codes that concepts have as a word or at their end, and codes that are only the end of a name."""
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    concept = F.element_at(F.array(F.concat(F.lit("pieza b x"), k.cast("string")), F.concat(F.lit("pieza"), k.cast("string"), F.lit(" c")), F.lit("leche zz b"), F.lit("pan")), (k % 4 + 1).cast("int"))
+    legend = F.map_from_arrays(F.array(F.lit("B"), F.lit("ZZ")), F.array(F.lit("IVA 4%"), F.lit("IVA 10%")))
+    found = F.when(k % 4 == 2, extraction.inferred_code(F.lit("leche zz"), legend)).otherwise(extraction.inferred_code(concept, legend))
+    return read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), n.cast("long").alias("linea"), found.alias("codigo"), extraction.spurious_code(F.concat(F.lit("Línea número "), n.cast("string")), F.lit("3")).alias("propio"))

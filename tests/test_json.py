@@ -243,3 +243,9 @@ def test_totals_of_a_wrong_kind_are_told(spark):
     rows = spark.createDataFrame([(a,) for a in answers], "respuesta string")
     said = [r["avisos_extraccion"] for r in postprocess.postprocess(rows).select("avisos_extraccion").collect()]
     assert said == [["totales_mal_tipo_eliminado=1", "impuestos_mal_tipo_eliminado=1"], []]
+
+
+def test_required_columns_and_spaces(spark):
+    rows = review.required(spark.createDataFrame([(1, "b", 2.5)], "unidades int, concepto string, otra double"))
+    assert rows.columns == list(review.FORM_FIELDS) and tuple(rows.first()) == ("b", "1", None, None, None, None)
+    assert column(spark, text.concept_spaces, [" a\u00a0\u00a0b \n c ", "", None]) == ["a b c", "", None]
