@@ -19,4 +19,4 @@ QUERIES = {
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op2_text_search": text_search.SQL, "op7_token_counts": token_rollup.SQL, "op8_line_dedup": line_dedup.SQL, "op13_vector_codes": vector_codes.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_text_search": text_search.SQL, "op8_line_dedup": line_dedup.SQL, "op13_vector_codes": vector_codes.SQL}

@@ -13,14 +13,18 @@ may commit different batches at once; of two that commit one batch at once, the
 
 from __future__ import annotations
 
+import functools
 import time
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import Scratch, scratch_path
+from ledgerloom.llm import token_files
+from ledgerloom.session import Scratch, arrow_rows, scratch_path
 
 KEYS = ("source", "lang", "version")
 MEASURES = ("n_docs", "n_tokens")
@@ -113,40 +117,55 @@ def counted(docs: DataFrame, versions: dict[str, Column]) -> DataFrame:
     return docs.select("source", "lang", F.inline(each))
 
 
-#: The tokenizer versions of op7: what a token is, as a pattern; the last is the revised rule of the one before.
-WORDS, PIECES, REVISED = r"\S+", r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", r"[A-Za-z]+|[0-9]+"
+#: The tokenizer versions of op7 and their files, named as in public_tokenizers.
+WORDS, PIECES = "word_bpe_49k", "piece_bpe_32k"
+FILES = {WORDS: "word_bpe_49k.json", PIECES: "piece_bpe_32k.model"}
+#: Texts of an Arrow batch.
+BATCH = 250
 
 
-def _count(pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col("text"), F.lit(pattern)), F.lit(0)).cast("long")
+@functools.cache
+def _pieces(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def token_counts(paths: dict[str, str]):
+    """A column function: text -> struct of the number of ids under WORDS and PIECES, without special tokens; a null text has none."""
+    kind = T.StructType([T.StructField(v, T.LongType()) for v in (WORDS, PIECES)])
+
+    @F.pandas_udf(kind)
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode, pieces = token_files.encoder(paths[WORDS]), _pieces(paths[PIECES])
+        for batch in batches:
+            texts = [t or "" for t in batch]
+            yield pd.DataFrame({WORDS: [len(ids) // 4 for ids in encode(texts)], PIECES: list(map(len, pieces.encode(texts, num_threads=1))) if texts else []}, dtype="int64")
+
+    return count
 
 
 def op7_token_counts(spark, sf_dir):
-    """Totals over ``documents`` after four batches: all documents inserted under two tokenizer versions, exact copies deleted
-    (the smallest doc_id of a text stays; a null text is no copy), the counts of the second version revised for what is left, the deletes replayed."""
+    """Totals over ``documents`` after four batches: all documents inserted under two tokenizers, exact copies deleted
+    (the smallest doc_id of a text stays; a null text is no copy), the counts of the first tokenizer revised to those with an end id for what is left, the deletes replayed."""
+    import public_tokenizers
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    count = token_counts({v: public_tokenizers.path(f) for v, f in FILES.items()})
 
     def versions(rows: DataFrame) -> DataFrame:
-        return counted(rows, {"words-1": F.col("words"), "pieces-1": F.col("pieces")})
+        return counted(rows, {v: F.col(v) for v in FILES})
 
-    with Scratch(spark) as scratch:
-        counts = scratch.written(docs.select("doc_id", "source", "lang", F.md5("text").alias("_text"), _count(WORDS).alias("words"), _count(PIECES).alias("pieces"), _count(REVISED).alias("revised")), "token-counts")
-        first = scratch.written(counts.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "token-copies")
+    with Scratch(spark) as scratch, arrow_rows(spark, BATCH):
+        counts = scratch.written(docs.select("doc_id", "source", "lang", F.md5("text").alias("_text"), count("text").alias("_n")).select("doc_id", "source", "lang", "_text", "_n.*"), "token-counts")
+        first = scratch.written(counts.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows"), "token-copies")
         # Both sides are shuffled by the join alone, so a text of very many copies is split between tasks.
         kept = F.col("_first").isNull() | F.col("doc_id").eqNullSafe(F.col("_first"))
         marked = scratch.written(counts.join(first, "_text", "left").withColumn("kept", kept), "token-marked")
         rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
         rollup.commit("1-insert", inserts(versions(marked)))
         rollup.commit("2-delete", deletes(versions(marked.where("not kept"))))
-        rollup.commit("3-revise", revisions(marked.where("kept").withColumn("version", F.lit("pieces-1")), "pieces", "revised"))
+        revised = marked.where("kept").select("source", "lang", F.lit(WORDS).alias("version"), F.col(WORDS).alias("old"), (F.col(WORDS) + 1).alias("new"))
+        rollup.commit("3-revise", revisions(revised, "old", "new"))
         rollup.commit("2-delete", deletes(versions(marked.where("not kept"))))
     return rollup.totals()
-
-
-SQL = rf"""
-WITH c AS (SELECT doc_id, source, lang, text, len(regexp_extract_all(text, '{WORDS}')) AS w, len(regexp_extract_all(text, '{REVISED}')) AS p FROM documents),
-k AS (SELECT doc_id, source, lang, coalesce(w, 0) AS w, coalesce(p, 0) AS p FROM c WHERE text IS NULL OR doc_id = (SELECT min(x.doc_id) FROM c x WHERE x.text = c.text))
-SELECT source, lang, 'words-1' AS version, count(*)::BIGINT AS n_docs, sum(w)::BIGINT AS n_tokens FROM k GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'pieces-1' AS version, count(*)::BIGINT AS n_docs, sum(p)::BIGINT AS n_tokens FROM k GROUP BY source, lang
-"""

@@ -5,8 +5,11 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ledgerloom.llm import line_dedup, mixing, token_rollup, vector_search
 from ledgerloom.session import scratch_path
@@ -126,6 +129,21 @@ def test_commits_beside_a_snapshot(spark, monkeypatch):
     assert figures(rollup) == [(2, 13)]
 
 
+def test_totals_of_two_tokenizers_against_the_libraries(spark, sf):
+    """What op7 sums up, document by document."""
+    library, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    first, want = {}, defaultdict(lambda: [0, 0])
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang").orderBy("doc_id").collect()
+    for r in rows:
+        if r["text"] is None or first.setdefault(r["text"], r["doc_id"]) == r["doc_id"]:
+            text = r["text"] or ""
+            for version, n in (("word_bpe_49k", len(library.encode(text, add_special_tokens=False).ids) + 1), ("piece_bpe_32k", len(pieces.encode(text)))):
+                total = want[r["source"], r["lang"], version]
+                total[0], total[1] = total[0] + 1, total[1] + n
+    got = {(r["source"], r["lang"], r["version"]): [r["n_docs"], r["n_tokens"]] for r in token_rollup.op7_token_counts(spark, sf).collect()}
+    assert got == dict(want) and len(first) < len(rows)
+
+
 # op1
 
 
