@@ -162,9 +162,9 @@ def learned_from(key: Column, folds: int, out: int) -> tuple[Column, Column]:
     return F.coalesce(fold != out, F.lit(False)), F.coalesce(fold == out, F.lit(False))
 
 
-def identify(docs: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", into: str = "_lang") -> DataFrame:
-    """The documents with a column ``into``, a struct of PREDICTED; the languages are learned from ``train``."""
-    langs, table = learn(train, text, lang)
+def identify(docs: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", into: str = "_lang", most: int = MAX_LANGUAGES) -> DataFrame:
+    """The documents with a column ``into``, a struct of PREDICTED; the languages, ``most`` at most, are learned from ``train``."""
+    langs, table = learn(train, text, lang, most)
     return docs.withColumn(into, predictor(docs.sparkSession, langs, table)(F.col(f"`{text}`")))
 
 
