@@ -109,7 +109,11 @@ def taxes(v: Column, declared: Column) -> tuple[Column, Column]:
 
 def verdict(document: Column) -> tuple[Column, Column]:
     """Errors and warnings of a JSON text. What is no JSON object has one error and is not looked at."""
-    v = F.try_parse_json(document)
+    return verdict_of(F.try_parse_json(document))
+
+
+def verdict_of(v: Column) -> tuple[Column, Column]:
+    """verdict() of a document that is parsed already, so that a column of it is not parsed again for each check."""
     declared = F.when(_is(field(v, "totales"), "OBJECT"), decimal(field(field(v, "totales"), "total")))
     flag = field(field(v, "impuestos"), "iva_incluido_en_precios")
     flagged = _is(flag, "BOOLEAN")
@@ -135,7 +139,8 @@ def validate_history(normalised: DataFrame, changes: DataFrame, key: str, run: s
     good = F.coalesce(kind(F.try_parse_json(doc)).startswith("OBJECT"), F.lit(False))
     last = last.select(key, run, doc, "fallback", good.alias("_good"))
     replayed = documents.replay(last, changes, key, doc, change_order, path, value, replace=True)
-    errors, warnings = verdict(F.col(doc))
+    replayed = replayed.withColumn("_v", F.try_parse_json(doc))
+    errors, warnings = verdict_of(F.col("_v"))
     told = F.transform("avisos", lambda w: F.struct(F.substring_index(w, ":", 1).alias("codigo"), F.lit("cambios").alias("ruta"), F.create_map(F.lit("campo"), w.substr(F.length(F.substring_index(w, ":", 1)) + 2, F.length(w))).alias("meta")))
     no_run = _events(_event("ERROR_NO_NORMALIZACION_OK", "normalizaciones_hist", F.col("fallback"), id_normalizacion_usada=F.col(run)))
     invalid = _events(_event("ERROR_JSON_NORMALIZADO_INVALIDO", "normalizaciones_hist.documento_normalizado_json", ~F.col("_good")))
