@@ -10,20 +10,28 @@ CENTS = "decimal(18,2)"
 
 def occurrences(events: DataFrame, start: Column, end: Column) -> DataFrame:
     """Dated rows of events between two dates: one-off events on their date, recurring ones every 1, 6 or 12 months from
-    their first month, on day ``dia_mes`` or the month's last; only while the event is valid. No event x day join."""
+    their first month, on day ``dia_mes`` or the month's last; only while the event is valid. No event x day join.
+
+    One row per event and date. An event that is one row has no date twice, so only the dates of ids with several rows are compared; the others are not held or sorted."""
     step = F.when(F.col("frecuencia") == "MENSUAL", 1).when(F.col("frecuencia") == "SEMESTRAL", 6).when(F.col("frecuencia") == "ANUAL", 12)
     last = F.least(F.coalesce("fecha_fin", end), end)
     months = F.floor(F.months_between(F.trunc(last, "MM"), F.trunc("fecha_inicio", "MM")))
-    recurring = (
-        events.where(step.isNotNull() & F.col("dia_mes").isNotNull() & (F.col("fecha_inicio") <= last))
-        .select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), months).cast("int"), step)).alias("_k"))
-        .withColumn("_m", F.add_months(F.trunc("fecha_inicio", "MM"), F.col("_k")))
-        .withColumn("fecha", F.date_add("_m", F.least("dia_mes", F.dayofmonth(F.last_day("_m"))) - 1))
-    )
-    once = events.where(F.col("frecuencia") == "UNICA").withColumn("fecha", F.col("fecha_unica"))
-    both = recurring.select("id_evento", "fecha", "importe", "nombre", "categoria", "etiqueta", "fecha_inicio", "fecha_fin").unionByName(once.select("id_evento", "fecha", "importe", "nombre", "categoria", "etiqueta", "fecha_inicio", "fecha_fin"))
-    valid = (F.col("fecha") >= F.col("fecha_inicio")) & (F.col("fecha") <= F.coalesce("fecha_fin", "fecha")) & (F.col("fecha") >= start) & (F.col("fecha") <= end)
-    return both.where(valid).select("id_evento", "fecha", F.trunc("fecha", "MM").alias("mes"), "importe", "nombre", "categoria", "etiqueta").dropDuplicates(["id_evento", "fecha"])
+    several = events.groupBy(F.col("id_evento").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    same = F.col("id_evento").eqNullSafe(F.col("_id"))
+
+    def dated(rows: DataFrame) -> DataFrame:
+        recurring = (
+            rows.where(step.isNotNull() & F.col("dia_mes").isNotNull() & (F.col("fecha_inicio") <= last))
+            .select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), months).cast("int"), step)).alias("_k"))
+            .withColumn("_m", F.add_months(F.trunc("fecha_inicio", "MM"), F.col("_k")))
+            .withColumn("fecha", F.date_add("_m", F.least("dia_mes", F.dayofmonth(F.last_day("_m"))) - 1))
+        )
+        once = rows.where(F.col("frecuencia") == "UNICA").withColumn("fecha", F.col("fecha_unica"))
+        both = recurring.select("id_evento", "fecha", "importe", "nombre", "categoria", "etiqueta", "fecha_inicio", "fecha_fin").unionByName(once.select("id_evento", "fecha", "importe", "nombre", "categoria", "etiqueta", "fecha_inicio", "fecha_fin"))
+        valid = (F.col("fecha") >= F.col("fecha_inicio")) & (F.col("fecha") <= F.coalesce("fecha_fin", "fecha")) & (F.col("fecha") >= start) & (F.col("fecha") <= end)
+        return both.where(valid).select("id_evento", "fecha", F.trunc("fecha", "MM").alias("mes"), "importe", "nombre", "categoria", "etiqueta")
+
+    return dated(events.join(several, same, "left_anti")).unionByName(dated(events.join(several, same, "left_semi")).dropDuplicates(["id_evento", "fecha"]))
 
 
 def ledger(tickets: DataFrame, labels: DataFrame, companies: DataFrame, dated: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import datetime
 import json
 from collections import Counter, defaultdict
 
-from ledgerloom.operators import documents, forecast
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import documents, forecast, ledger
 from ledgerloom.plans import catalog
 
 
@@ -51,3 +53,19 @@ def test_replay_applies_every_change_in_order(spark):
 def test_differences_of_all_paths(spark):
     pairs = spark.createDataFrame([(1, '{"a":{"b":1},"l":[{"x":"s"}]}', '{"a":{"b":2},"l":[{"x":"s"},{"x":"t"}]}'), (2, None, '{"a":1}'), (3, "{}", "{}")], "id int, x string, y string")
     assert sorted(map(tuple, documents.differences(pairs, "id", "x", "y").collect())) == [(1, "a.b", "1", "2"), (1, "l[1].x", None, "t"), (2, "a", None, "1")]
+
+
+def test_only_events_of_several_rows_are_compared(spark):
+    day = datetime.date
+    rows = [
+        (1, "MENSUAL", 31, day(2020, 1, 1), None, None), (2, "UNICA", None, day(2020, 1, 1), None, day(2020, 1, 5)), (2, "UNICA", None, day(2020, 1, 1), None, day(2020, 1, 5)),
+        (3, "MENSUAL", 5, day(2020, 1, 1), day(2020, 3, 31), None), (3, "UNICA", None, day(2020, 1, 1), None, day(2020, 2, 5)), (None, "UNICA", None, day(2020, 1, 1), None, day(2020, 1, 9)), (None, "UNICA", None, day(2020, 1, 1), None, day(2020, 1, 9)),
+    ]
+    events = spark.createDataFrame(rows, "id_evento long, frecuencia string, dia_mes int, fecha_inicio date, fecha_fin date, fecha_unica date").selectExpr("*", "1.0 importe", "'n' nombre", "'c' categoria", "'e' etiqueta")
+    found = ledger.occurrences(events, F.lit("2020-01-01").cast("date"), F.lit("2020-03-31").cast("date"))
+    assert Counter((r["id_evento"], str(r["fecha"])) for r in found.collect()) == Counter([(1, "2020-01-31"), (1, "2020-02-29"), (1, "2020-03-31"), (2, "2020-01-05"), (3, "2020-01-05"), (3, "2020-02-05"), (3, "2020-03-05"), (None, "2020-01-09")])
+    # With one row an event, no occurrence is held in a sort or a table of keys.
+    single = ledger.occurrences(events.where("id_evento = 1"), F.lit("2020-01-01").cast("date"), F.lit("2020-03-31").cast("date"))
+    single.collect()
+    final = single._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortAggregate" not in final
