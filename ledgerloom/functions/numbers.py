@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,10)"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used; inside lambdas Spark computes each use anew."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _try(text: Column, kind: str = WIDE) -> Column:
     return text.try_cast(kind)
 
 
 def _marks(text: Column) -> Column:
     """The rightmost of comma and dot is the decimal mark where both occur; a comma alone is one."""
+    return once(text, _dotted)
+
+
+def _dotted(text: Column) -> Column:
     comma, dot = F.length(text) - F.instr(F.reverse(text), ","), F.length(text) - F.instr(F.reverse(text), ".")
     both = text.contains(",") & text.contains(".")
     return F.when(both & (comma > dot), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(text, F.lit(","), F.lit(""))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
@@ -23,7 +34,7 @@ def decimal_from_text(text: Column) -> Column:
     """Everything but digits, marks and signs is dropped; a sign only leads, once."""
     bare = F.regexp_replace(text, r"[^0-9,.+\-]", "")
     dotted = F.regexp_replace(F.regexp_replace(_marks(bare), r"^\+", ""), r"^(-?)\.", "$10.")
-    return F.when(dotted.rlike(r"^-?[0-9]+(\.[0-9]*)?$"), _try(dotted))
+    return once(dotted, lambda t: F.when(t.rlike(r"^-?[0-9]+(\.[0-9]*)?$"), _try(t)))
 
 
 def accounting_decimal(text: Column) -> Column:
@@ -76,8 +87,7 @@ def units(text: Column) -> Column:
 
 def percent_fraction(text: Column) -> Column:
     """A fraction: divided by 100 where the text has a percent sign or the number is above 1."""
-    x = F.abs(decimal_from_text(text))
-    return money(F.when(text.contains("%") | (x > 1), x / 100).otherwise(x))
+    return money(once(F.abs(decimal_from_text(text)), lambda x: F.when(text.contains("%") | (x > 1), x / 100).otherwise(x)))
 
 
 def boolean(text: Column) -> Column:

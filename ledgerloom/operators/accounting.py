@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers
+from ledgerloom.functions.numbers import once
 from ledgerloom.operators import documents, history
 from ledgerloom.operators.json_schema import elements, field, kind
 
@@ -37,8 +38,11 @@ def _is(v: Column, name: str) -> Column:
 
 def decimal(v: Column) -> Column:
     """A JSON number, or a text of one with ``,`` or ``.`` for decimals, white space and a euro sign; NULL for anything else, booleans too."""
-    said = F.when(_is(v, "OBJECT") | _is(v, "ARRAY") | _is(v, "BOOLEAN"), F.lit(None)).otherwise(F.try_variant_get(v, "$", "string"))
-    bare = F.regexp_replace(said, r"(?U)[€\s]", "")
+    text = lambda x: once(kind(x), lambda k: F.when(~F.coalesce(k.rlike("^(OBJECT|ARRAY|BOOLEAN)"), F.lit(False)), F.try_variant_get(x, "$", "string")))
+    return once(v, lambda x: once(F.regexp_replace(text(x), r"(?U)[€\s]", ""), _decimal))
+
+
+def _decimal(bare: Column) -> Column:
     last = lambda c: F.length(bare) - F.length(F.substring_index(bare, c, -1))
     both = bare.contains(",") & bare.contains(".")
     dotted = F.when(both & (last(",") > last(".")), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
@@ -51,10 +55,12 @@ def _item(i: Column, name: str = "") -> Column:
 
 def structure(v: Column) -> Column:
     """Events of a document (a variant object) that lacks what every check needs; where there are no items, nothing else is looked at."""
-    items, totals = elements(field(v, "items")), field(v, "totales")
+    totals = field(v, "totales")
 
     def of_item(x: Column, i: Column) -> Column:
-        concept, there = field(x, "concepto"), _is(x, "OBJECT")
+        return once(F.struct(field(x, "concepto").alias("c"), _is(x, "OBJECT").alias("o")), lambda s: said_of(x, i, s["c"], s["o"]))
+
+    def said_of(x: Column, i: Column, concept: Column, there: Column) -> Column:
         named = _is(concept, "STRING") & (F.trim(F.coalesce(F.try_variant_get(concept, "$", "string"), F.lit(""))) != "")
         return _events(
             _event("ERROR_ITEM_INVALIDO", _item(i), ~there),
@@ -63,14 +69,17 @@ def structure(v: Column) -> Column:
         )
 
     total = F.when(_is(totals, "OBJECT"), decimal(field(totals, "total")))
-    empty = F.coalesce(F.size(items), F.lit(0)) <= 0
-    rest = F.concat(F.flatten(F.transform(items, of_item)), _events(_event("ERROR_TOTALES_TOTAL_FALTA", "totales.total", total.isNull())))
-    return F.when(empty, _events(_event("ERROR_ITEMS_VACIO", "items", F.lit(True)))).otherwise(rest)
+    empty = lambda items: F.coalesce(F.size(items), F.lit(0)) <= 0
+    rest = lambda items: F.concat(F.flatten(F.transform(items, of_item)), _events(_event("ERROR_TOTALES_TOTAL_FALTA", "totales.total", total.isNull())))
+    return once(elements(field(v, "items")), lambda items: F.when(empty(items), _events(_event("ERROR_ITEMS_VACIO", "items", F.lit(True)))).otherwise(rest(items)))
 
 
 def expected_total(v: Column) -> Column:
     """Sum of (amount - discount) x (1 - percent / 100) over items with an amount, less the document's discount; NULL without items."""
-    items = elements(field(v, "items"))
+    return once(elements(field(v, "items")), lambda items: _expected(v, items))
+
+
+def _expected(v: Column, items: Column) -> Column:
     amount = lambda x, name: decimal(field(x, name))
     line = lambda x: ((amount(x, "importe_total") - F.coalesce(amount(x, "descuento_importe"), F.lit(0))) * (1 - F.coalesce(amount(x, "descuento_porcentaje"), F.lit(0)) / 100)).cast(_WIDE)
     lines = F.transform(F.filter(items, lambda x: _is(x, "OBJECT")), line)
@@ -80,20 +89,30 @@ def expected_total(v: Column) -> Column:
 
 def _compared(found: Column, declared: Column, path: str, error: str, warning: str, name: str) -> tuple[Column, Column]:
     """The events of a sum that differs from the declared total: an error, or a warning within the wider tolerance."""
+    both = once(F.struct(found.alias("f"), declared.alias("d")), lambda s: _both(s["f"], s["d"], path, error, warning, name))
+    return both["error"], both["aviso"]
+
+
+def _both(found: Column, declared: Column, path: str, error: str, warning: str, name: str) -> Column:
     limit = lambda t: F.round(F.greatest(F.lit(t[0]).cast(_WIDE), (F.abs(declared) * F.lit(t[1]).cast("decimal(6,4)")).cast(_WIDE)), 2).cast(_MONEY)
     money = lambda c: F.round(c, 2).cast(_MONEY)
     meta = {name: money(found), "total_declarado": money(declared), "diferencia": money(F.abs(found - declared)), "tolerancia_ok": limit(OK), "tolerancia_aviso": limit(WARN)}
-    band = numbers.bands(found, declared, OK, WARN)
-    return _events(_event(error, path, F.coalesce(band == "ERROR", F.lit(False)), **meta)), _events(_event(warning, path, F.coalesce(band == "WARNING", F.lit(False)), **meta))
+    event = lambda band, code, word: _events(_event(code, path, F.coalesce(band == word, F.lit(False)), **meta))
+    return once(numbers.bands(found, declared, OK, WARN), lambda band: F.struct(event(band, error, "ERROR").alias("error"), event(band, warning, "WARNING").alias("aviso")))
 
 
 def taxes(v: Column, declared: Column) -> tuple[Column, Column]:
     """Errors and warnings of the tax summary: rates that can't be read or are not in [0, 1], and, where every row has base and amount, their sum against the total."""
-    rows = elements(field(field(v, "impuestos"), "resumen_impuestos"))
+    both = once(elements(field(field(v, "impuestos"), "resumen_impuestos")), lambda rows: _taxes(rows, declared))
+    return both["errores"], both["avisos"]
 
+
+def _taxes(rows: Column, declared: Column) -> Column:
     def of_row(x: Column, i: Column) -> Column:
-        rate = field(x, "tipo_impuesto")
-        there, value = _is(x, "OBJECT") & F.coalesce(kind(rate) != "VOID", F.lit(False)), decimal(rate)
+        return once(field(x, "tipo_impuesto"), lambda rate: once(decimal(rate), lambda value: said_of(x, i, rate, value)))
+
+    def said_of(x: Column, i: Column, rate: Column, value: Column) -> Column:
+        there = _is(x, "OBJECT") & F.coalesce(kind(rate) != "VOID", F.lit(False))
         path = F.concat(F.lit("impuestos.resumen_impuestos["), i.cast("string"), F.lit("].tipo_impuesto"))
         return _events(
             _event("IVA_TIPO_NO_PARSEABLE", path, there & value.isNull(), valor=F.try_variant_get(rate, "$", "string")),
@@ -104,7 +123,7 @@ def taxes(v: Column, declared: Column) -> tuple[Column, Column]:
     whole = F.forall(rows, lambda x: _is(x, "OBJECT") & part(x, "base_imponible").isNotNull() & part(x, "importe").isNotNull())
     total = F.aggregate(rows, F.lit(0).cast(_WIDE), lambda a, x: (a + part(x, "base_imponible") + part(x, "importe")).cast(_WIDE))
     errors, warnings = _compared(F.when(whole & (F.size(rows) > 0), total), declared, "impuestos.resumen_impuestos", "ERROR_IVA_RESUMEN_TOTAL_FUERA_DE_AVISO", "IVA_RESUMEN_TOTAL_EN_AVISO", "total_resumen")
-    return errors, F.concat(F.coalesce(F.flatten(F.transform(rows, of_row)), _no_events()), warnings)
+    return F.struct(errors.alias("errores"), F.concat(F.coalesce(F.flatten(F.transform(rows, of_row)), _no_events()), warnings).alias("avisos"))
 
 
 def verdict(document: Column) -> tuple[Column, Column]:
@@ -114,7 +133,15 @@ def verdict(document: Column) -> tuple[Column, Column]:
 
 def verdict_of(v: Column) -> tuple[Column, Column]:
     """verdict() of a document that is parsed already, so that a column of it is not parsed again for each check."""
-    declared = F.when(_is(field(v, "totales"), "OBJECT"), decimal(field(field(v, "totales"), "total")))
+    found = once(v, lambda x: once(_declared(x), lambda declared: _verdict(x, declared)))
+    return found["errores"], found["avisos"]
+
+
+def _declared(v: Column) -> Column:
+    return once(field(v, "totales"), lambda t: F.when(_is(t, "OBJECT"), decimal(field(t, "total"))))
+
+
+def _verdict(v: Column, declared: Column) -> Column:
     flag = field(field(v, "impuestos"), "iva_incluido_en_precios")
     flagged = _is(flag, "BOOLEAN")
     used = _events(
@@ -124,8 +151,9 @@ def verdict_of(v: Column) -> tuple[Column, Column]:
     total = _compared(expected_total(v), declared, "totales.total", "ERROR_TOTAL_DIF_FUERA_DE_AVISO", "TOTAL_DIF_EN_AVISO", "total_esperado")
     tax = taxes(v, declared)
     invalid = _events(_event("ERROR_JSON_NORMALIZADO_INVALIDO", "normalizaciones_hist.documento_normalizado_json", F.lit(True)))
-    errors = F.when(_is(v, "OBJECT"), F.concat(structure(v), total[0], tax[0])).otherwise(invalid)
-    return errors, F.when(_is(v, "OBJECT"), F.concat(used, total[1], tax[1])).otherwise(_no_events())
+    # Sums and their events are made once for errors and warnings.
+    checked = once(F.struct(*(c.alias(n) for c, n in zip((*total, *tax), ("te", "ta", "xe", "xa"), strict=True))), lambda c: F.struct(F.concat(structure(v), c["te"], c["xe"]).alias("errores"), F.concat(used, c["ta"], c["xa"]).alias("avisos")))
+    return F.when(_is(v, "OBJECT"), checked).otherwise(F.struct(invalid.alias("errores"), _no_events().alias("avisos")))
 
 
 def validate_history(normalised: DataFrame, changes: DataFrame, key: str, run: str, doc: str, ok: str, order: list[str], change_order: list[str], path: str = "campo", value: str = "valor") -> DataFrame:
@@ -141,6 +169,8 @@ def validate_history(normalised: DataFrame, changes: DataFrame, key: str, run: s
     replayed = documents.replay(last, changes, key, doc, change_order, path, value, replace=True)
     replayed = replayed.withColumn("_v", F.try_parse_json(doc))
     errors, warnings = verdict_of(F.col("_v"))
+    replayed = replayed.withColumn("_f", F.struct(errors.alias("e"), warnings.alias("w")))
+    errors, warnings = F.col("_f.e"), F.col("_f.w")
     told = F.transform("avisos", lambda w: F.struct(F.substring_index(w, ":", 1).alias("codigo"), F.lit("cambios").alias("ruta"), F.create_map(F.lit("campo"), w.substr(F.length(F.substring_index(w, ":", 1)) + 2, F.length(w))).alias("meta")))
     no_run = _events(_event("ERROR_NO_NORMALIZACION_OK", "normalizaciones_hist", F.col("fallback"), id_normalizacion_usada=F.col(run)))
     invalid = _events(_event("ERROR_JSON_NORMALIZADO_INVALIDO", "normalizaciones_hist.documento_normalizado_json", ~F.col("_good")))
