@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import numbers, text
+from ledgerloom.functions.numbers import once
 from ledgerloom.session import text_batches
 
 #: A document as it is read: all scalars are text.
@@ -66,24 +67,25 @@ def normalise(rows: DataFrame, doc: str = "documento", ok: str = "ok_extraccion"
     raw_map = d["impuestos"]["mapa_codigo_impuesto"]
     entries = F.transform(F.map_entries(raw_map), lambda e: F.struct(_code(e["key"]).alias("key"), numbers.percent_fraction(e["value"]).alias("value")))
     good = F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    keys = F.array_distinct(F.transform(good, lambda e: e["key"]))
-    codes = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(good, lambda e: e["key"] == k), -1)["value"]))
-    parsed = rows.withColumns({
-        "_valid": F.filter(F.transform(as_list(d["items"]), item), lambda x: x["concepto"].isNotNull() & x["importe_total"].isNotNull()),
+    latest_of = lambda found, keys: F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"]))
+    codes = once(good, lambda found: once(F.array_distinct(F.transform(found, lambda e: e["key"])), lambda keys: F.when(F.size(keys) > 0, latest_of(found, keys))))
+    parsed = rows.withColumn("_parsed", F.transform(as_list(d["items"]), item)).withColumns({
+        "_valid": F.filter("_parsed", lambda x: x["concepto"].isNotNull() & x["importe_total"].isNotNull()),
         "_total": numbers.amount(d["totales"]["total"]),
         "_discount": numbers.amount(d["totales"]["descuento_total"]),
         "_taxes": F.filter(F.transform(d["impuestos"]["resumen_impuestos"], tax), lambda x: F.coalesce(*(x[f].cast("string") for f in ("tipo_impuesto", "base_imponible", "importe"))).isNotNull()),
-        "_codes": F.when(F.size(keys) > 0, codes),
+        "_codes": codes,
         "_company": text.company(d["empresa"]),
         "_date": text.date(d["fecha"]),
         "_flag": numbers.boolean(d["impuestos"]["iva_incluido_en_precios"]),
     })
     at = lambda i, f: F.concat(F.lit("items["), i.cast("string"), F.lit(f"].{f}"))
+    read = lambda i, f: F.get("_parsed", i)[f]
     of_item = lambda x, i: _present(
         _warn("CAMPO_ELIMINADO_VACIO", at(i, "concepto"), _blank(x["concepto"])),
-        _warn("IMPORTE_NO_PARSEABLE", at(i, "importe_total"), numbers.amount(x["importe_total"]).isNull()),
-        _warn("IMPORTE_NO_PARSEABLE", at(i, "descuento_importe"), _unreadable(x["descuento_importe"], numbers.amount(x["descuento_importe"]))),
-        _warn("UNIDADES_NO_PARSEABLES", at(i, "unidades"), _unreadable(x["unidades"], numbers.units(x["unidades"]))),
+        _warn("IMPORTE_NO_PARSEABLE", at(i, "importe_total"), read(i, "importe_total").isNull()),
+        _warn("IMPORTE_NO_PARSEABLE", at(i, "descuento_importe"), _unreadable(x["descuento_importe"], read(i, "descuento_importe"))),
+        _warn("UNIDADES_NO_PARSEABLES", at(i, "unidades"), _unreadable(x["unidades"], read(i, "unidades"))),
     )
     gate = F.coalesce(F.col(ok), F.lit(False)) & F.col("_company").isNotNull() & F.col("_date").isNotNull() & F.col("_total").isNotNull() & (F.size("_valid") > 0)
     biggest = F.array_max(F.transform("_valid", lambda x: F.abs(x["importe_total"])))
@@ -141,12 +143,12 @@ def validate(rows: DataFrame, doc: str = "normalizado", ok: tuple[float, float]
     items, total, taxes = F.coalesce(d["items"], F.array()), d["totales"]["total"], F.coalesce(d["impuestos"]["resumen_impuestos"], F.array())
     at = lambda i, f: F.concat(F.lit("items["), i.cast("string"), F.lit(f"].{f}"))
     in_tax = lambda i: F.concat(F.lit("impuestos.resumen_impuestos["), i.cast("string"), F.lit("].tipo_impuesto"))
-    expected = expected_total(d)
-    band = numbers.bands(F.round(expected, 2), total, ok, warn)
+    rows = rows.withColumn("_expected", F.round(expected_total(d), 2)).withColumn("_band", numbers.bands(F.col("_expected"), total, ok, warn))
+    expected, band = F.col("_expected"), F.col("_band")
     full = (F.size(taxes) > 0) & F.forall(taxes, lambda x: x["base_imponible"].isNotNull() & x["importe"].isNotNull())
     taxed = F.aggregate(taxes, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["base_imponible"] + x["importe"]).cast("decimal(28,2)"))
     tax_band = F.when(full, numbers.bands(taxed, total, ok, warn))
-    sums = {"esperado": F.round(expected, 2), "declarado": total}
+    sums = {"esperado": expected, "declarado": total}
     errors = F.concat(
         _present(_event("ERROR_JSON_NORMALIZADO_INVALIDO", "", ~there), _event("ERROR_ITEMS_VACIO", "items", there & (F.size(items) == 0))),
         F.flatten(F.transform(items, lambda x, i: _present(
@@ -172,7 +174,7 @@ def validate(rows: DataFrame, doc: str = "normalizado", ok: tuple[float, float]
         ))),
         _present(_event("IVA_RESUMEN_TOTAL_EN_AVISO", "impuestos.resumen_impuestos", there & (tax_band == "WARNING"), resumen=taxed, declarado=total)),
     )
-    return rows.withColumns({"errores": errors, "avisos_contables": warnings}).withColumn("ok_validacion", F.size("errores") == 0)
+    return rows.withColumns({"errores": errors, "avisos_contables": warnings}).withColumn("ok_validacion", F.size("errores") == 0).drop("_expected", "_band")
 
 
 #: The keys of a document, which of them it must have, and the kinds of their values.
