@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.numbers import once
+
 _TEXT = {"type": "string"}
 
 
@@ -63,6 +65,11 @@ def _said(code: str, path: Column) -> Column:
     return F.concat(F.lit(f"{code}:"), path)
 
 
+def _inside(v: Column, schema: dict, path: Column) -> Column:
+    """What a value breaks, nothing where it is missing. It is computed once, not by every check below it."""
+    return once(v, lambda x: F.when(x.isNotNull(), _check(x, schema, path)).otherwise(F.array().cast(_NONE)))
+
+
 def _check(v: Column, schema: dict, path: Column | None) -> Column:
     """What a value that is there breaks."""
     none, here = F.array().cast(_NONE), F.lit("$") if path is None else path
@@ -75,8 +82,7 @@ def _check(v: Column, schema: dict, path: Column | None) -> Column:
         for name in schema.get("required", []):
             parts.append(F.when(field(v, name).isNull(), F.array(_said("falta", _under(path, F.lit(name))))).otherwise(none))
         for name, sub in known.items():
-            value = field(v, name)
-            parts.append(F.when(value.isNotNull(), _check(value, sub, _under(path, F.lit(name)))).otherwise(none))
+            parts.append(_inside(field(v, name), sub, _under(path, F.lit(name))))
         more = schema.get("additionalProperties", True)
         if more is not True:
             other = F.array_except(F.map_keys(held), F.array(*map(F.lit, known)).cast(_NONE))
@@ -102,5 +108,5 @@ def violations(document: Column, schema: dict = DOCUMENT_SCHEMA) -> Column:
     Read of a schema: type (one or several), required, properties, additionalProperties (false or a schema), items and minItems.
     """
     v = F.try_parse_json(document)
-    wrong = F.coalesce(~kind(v).startswith("OBJECT"), F.lit(True)) if schema["type"] == "object" else v.isNull()
-    return F.when(wrong, F.array(F.lit("raiz:no_es_objeto"))).otherwise(_check(v, schema, None))
+    wrong = lambda x: F.coalesce(~kind(x).startswith("OBJECT"), F.lit(True)) if schema["type"] == "object" else x.isNull()
+    return once(v, lambda x: F.when(wrong(x), F.array(F.lit("raiz:no_es_objeto"))).otherwise(_check(x, schema, None)))

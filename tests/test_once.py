@@ -17,3 +17,7 @@ def test_amounts_are_read_once(spark):
 def test_checks_of_the_accounting_share_their_values(spark):
     assert count(accounting.decimal(F.col("v")), "variant_get") == 1  # was 11
     assert count(accounting.verdict(F.col("d"))[0], "variant_get") <= 120  # was 4,489
+
+
+def test_schema_checks_share_their_values(spark):
+    assert count(json_schema.violations(F.col("d")), "variant_get") <= 60  # was 116
