@@ -111,7 +111,7 @@ def without_empty(doc: Column) -> Column:
     each with a warning ``vacio:<path>``. Company, date, items and totals stay as keys, NULL or empty."""
     clear = lambda c: F.when(~_blank(c), c)
     items = F.coalesce(doc["items"], F.array().cast("array<struct<concepto:string,unidades:string,importe_total:string,descuento_porcentaje:string,descuento_importe:string,codigo_impuesto:string>>"))
-    cleaned = F.transform(items, lambda x: F.struct(*(clear(x[f]).alias(f) for f in FORM_FIELDS)))
+    clean = lambda x: F.struct(*(clear(x[f]).alias(f) for f in FORM_FIELDS))
     full = lambda x: F.coalesce(*(x[f] for f in FORM_FIELDS)).isNotNull()
     tax = doc["impuestos"]
     rows = F.filter(F.transform(tax["resumen_impuestos"], lambda r: F.struct(*(clear(r[f]).alias(f) for f in ("tipo_impuesto", "base_imponible", "importe")))), lambda r: F.coalesce(r["tipo_impuesto"], r["base_imponible"], r["importe"]).isNotNull())
@@ -120,12 +120,12 @@ def without_empty(doc: Column) -> Column:
     flag = clear(tax["iva_incluido_en_precios"])
     left = F.when(F.coalesce(flag, F.when(F.size(codes) > 0, "x"), F.when(F.size(rows) > 0, "x")).isNotNull(), F.struct(flag.alias("iva_incluido_en_precios"), some(codes).alias("mapa_codigo_impuesto"), some(rows).alias("resumen_impuestos")))
     made = F.struct(
-        clear(doc["empresa"]).alias("empresa"), clear(doc["fecha"]).alias("fecha"), F.filter(cleaned, full).alias("items"),
+        clear(doc["empresa"]).alias("empresa"), clear(doc["fecha"]).alias("fecha"), F.filter(F.transform(items, clean), full).alias("items"),
         F.struct(clear(doc["totales"]["descuento_total"]).alias("descuento_total"), clear(doc["totales"]["total"]).alias("total")).alias("totales"), left.alias("impuestos"),
     )
     gone = lambda bad, path: F.when(bad, F.lit(f"vacio:{path}"))
     of_item = lambda x, i: F.filter(
-        F.array(F.when(~full(cleaned[i]), F.concat(F.lit("vacio:items["), i.cast("string"), F.lit("]"))), *(F.when(full(cleaned[i]) & x[f].isNotNull() & _blank(x[f]), F.concat(F.lit("vacio:items["), i.cast("string"), F.lit(f"].{f}"))) for f in FORM_FIELDS)),
+        F.array(F.when(~full(clean(x)), F.concat(F.lit("vacio:items["), i.cast("string"), F.lit("]"))), *(F.when(x[f].isNotNull() & _blank(x[f]) & full(clean(x)), F.concat(F.lit("vacio:items["), i.cast("string"), F.lit(f"].{f}"))) for f in FORM_FIELDS)),
         lambda w: w.isNotNull(),
     )
     warnings = F.concat(

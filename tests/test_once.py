@@ -21,3 +21,7 @@ def test_checks_of_the_accounting_share_their_values(spark):
 
 def test_schema_checks_share_their_values(spark):
     assert count(json_schema.violations(F.col("d")), "variant_get") <= 60  # was 116
+
+
+def test_blank_texts_are_cleared_by_item(spark):
+    assert count(review.without_empty(F.col("d")), "transform") <= 5
