@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers
+from ledgerloom.functions.numbers import once
 from ledgerloom.functions.text import unaccent
 
 # The words of each class of lines, without accents.
@@ -26,7 +27,10 @@ def _any(words: list[str]) -> str:
 
 def item_class(concept: Column) -> Column:
     """``pago``, ``total_suministro`` or ``total`` for a line that isn't billed, else NULL; a discount is always billed."""
-    plain = unaccent(concept)
+    return once(unaccent(concept), _class_of)
+
+
+def _class_of(plain: Column) -> Column:
     kind = F.when(plain.rlike(_any(PAYMENT)), "pago").when(plain.rlike(r"(?i)^\s*total\s+(" + "|".join(UTILITIES) + r")\b"), "total_suministro").when(plain.rlike(_any(TOTALS)), "total")
     return F.when(~plain.rlike(_any(DISCOUNT)), kind)
 
@@ -40,11 +44,11 @@ def with_class(items: Column) -> Column:
     name = lambda x: F.lower(F.trim(F.coalesce(x["concepto"], F.lit(""))))
     classed = F.transform(items, lambda x: F.struct(x.alias("x"), name(x).alias("n"), item_class(F.coalesce(x["concepto"], F.lit(""))).alias("k")))
 
-    def repeated(c: Column, i: Column) -> Column:
-        before = F.exists(F.slice(classed, 1, i), lambda o: o["k"].isNull() & (o["n"] == c["n"]))
+    def repeated(all_: Column, c: Column, i: Column) -> Column:
+        before = F.exists(F.slice(all_, 1, i), lambda o: o["k"].isNull() & (o["n"] == c["n"]))
         return c["k"].isNull() & c["n"].contains("total") & ~unaccent(c["n"]).rlike(_any(DISCOUNT)) & before
 
-    return F.transform(classed, lambda c, i: F.struct(c["x"].alias("x"), F.coalesce(c["k"], F.when(repeated(c, i), F.lit("repetido"))).alias("clase")))
+    return once(classed, lambda all_: F.transform(all_, lambda c, i: F.struct(c["x"].alias("x"), F.coalesce(c["k"], F.when(repeated(all_, c, i), F.lit("repetido"))).alias("clase"))))
 
 
 def drop_unbilled(items: Column) -> Column:
@@ -70,7 +74,7 @@ def class_counts(items: Column) -> Column:
     """map<class, number of lines> of the lines that aren't billed."""
     classes = F.transform(items, lambda x: item_class(F.coalesce(x["concepto"], F.lit(""))))
     known = F.array(*map(F.lit, ["pago", "total_suministro", "total"]))
-    return F.map_from_arrays(known, F.transform(known, lambda k: F.size(F.filter(classes, lambda c: c == k))))
+    return once(classes, lambda found: F.map_from_arrays(known, F.transform(known, lambda k: F.size(F.filter(found, lambda c: c == k)))))
 
 
 def _names(items: Column, words: list[str]) -> Column:
@@ -89,8 +93,8 @@ def single_summary(items: Column) -> Column:
 
 def split_code(value: Column) -> Column:
     """struct<valor, codigo>: a last A, B, C, 1, 2 or 3 after white space goes to the code."""
-    code = F.nullif(F.upper(F.regexp_extract(value, r"(?i)\s([A-C1-3])\s*$", 1)), F.lit(""))
-    return F.struct(F.when(code.isNotNull(), F.regexp_replace(value, r"(?i)\s+[A-C1-3]\s*$", "")).otherwise(value).alias("valor"), code.alias("codigo"))
+    found = F.nullif(F.upper(F.regexp_extract(value, r"(?i)\s([A-C1-3])\s*$", 1)), F.lit(""))
+    return once(found, lambda code: F.struct(F.when(code.isNotNull(), F.regexp_replace(value, r"(?i)\s+[A-C1-3]\s*$", "")).otherwise(value).alias("valor"), code.alias("codigo")))
 
 
 def spurious_code(concept: Column, code: Column) -> Column:
@@ -117,10 +121,10 @@ _LEGEND = [r"(?i)\b([ABC123])\s?[=:]\s?" + _RATE, r"(?i)\(([ABC123])\)[\s]*(?:IV
 def tax_legend(text: Column) -> Column:
     """map<code, ``IVA n%``> from legends such as ``A=21%`` and ``(B) IMP 10,00%``; of a repeated code the last one counts."""
     found = lambda n: F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(n)) for p in _LEGEND))
-    pairs = F.arrays_zip(F.transform(found(1), F.upper).alias("k"), found(2).alias("v"))
-    keys = F.array_distinct(F.transform(found(1), F.upper))
-    value = lambda k: F.concat(F.lit("IVA "), percent_text(F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]), F.lit("%"))
-    return F.map_from_arrays(keys, F.transform(keys, value))
+    said = F.arrays_zip(F.transform(found(1), F.upper).alias("k"), found(2).alias("v"))
+    value = lambda pairs, k: F.concat(F.lit("IVA "), percent_text(F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]), F.lit("%"))
+    keys = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return once(said, lambda pairs: once(keys(pairs), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: value(pairs, k)))))
 
 
 #: Forms of a tax line, each with rate, base and amount: named tax, tax by its code (``(B) IVA 10% B.I. 5,00 CUOTA 0,50``), and a bare table row.

@@ -25,3 +25,8 @@ def test_schema_checks_share_their_values(spark):
 
 def test_blank_texts_are_cleared_by_item(spark):
     assert count(review.without_empty(F.col("d")), "transform") <= 5
+
+
+def test_lines_are_classed_once(spark):
+    assert count(extraction.with_class(F.col("i")), "translate") <= 4  # was 9
+    assert count(extraction.tax_legend(F.col("t")), "regexp_extract_all") <= 4  # was 8
