@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.numbers import once
+
 
 @F.pandas_udf(T.StringType())
 def unaccent_any(texts: pd.Series) -> pd.Series:
@@ -29,7 +31,8 @@ _ACCENTED = {chr(c): p for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00))
 
 def unaccent(text: Column) -> Column:
     """Latin letters without their marks, within the JVM; other scripts need unaccent_any()."""
-    return F.regexp_replace(F.translate(text, "".join(_ACCENTED), "".join(_ACCENTED.values())), "[\u0300-\u036f]", "")
+    plain = F.regexp_replace(F.translate(text, "".join(_ACCENTED), "".join(_ACCENTED.values())), "[\u0300-\u036f]", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(plain)  # ASCII has no marks
 
 
 def _strip(text: Column) -> Column:
@@ -63,7 +66,10 @@ MONTHS = {"ene": 1, "jan": 1, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "may": 5,
 
 def date(text: Column) -> Column:
     """ISO, then numeric d/m/y, then d month y; the first form that matches decides, an invalid date is NULL."""
-    t = F.regexp_replace(F.lower(unaccent(_strip(text))), "0ct", "oct")
+    return once(F.regexp_replace(F.lower(unaccent(_strip(text))), "0ct", "oct"), _date)
+
+
+def _date(t: Column) -> Column:
     iso, numeric, words = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})[/\-. ](\d{1,2})[/\-. ](\d{4}|\d{2})(?!\d)", r"(\d{1,2})[/\-. ]+(?:de )?([a-z]{3})[a-z]*[.,]?[/\-. ]+(?:de )?(\d{4}|\d{2})(?!\d)"
     month = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
 
@@ -130,16 +136,18 @@ def wrapped_json(text: Column) -> Column:
 def python_literal_json(text: Column) -> Column:
     """JSON from the text of a Python literal or of JSON: ``{"valor": "..."}`` is unwrapped, ``Decimal('1.2')`` becomes 1.2, single quotes, None, True and
     False become JSON's. What is neither becomes ``{"valor": text}``; blank texts are NULL. Quotes inside a string are read as far as the reader of single quotes goes."""
-    t = F.nullif(_strip(text), F.lit(""))
-    wrapped = F.json_object_keys(t)
-    inner = F.when((F.size(wrapped) == 1) & (wrapped[0] == "valor"), F.coalesce(F.get_json_object(t, "$.valor"), t)).otherwise(t)
+    inner = lambda t: once(F.json_object_keys(t), lambda keys: F.when((F.size(keys) == 1) & (keys[0] == "valor"), F.coalesce(F.get_json_object(t, "$.valor"), t)).otherwise(t))
+    return once(F.nullif(_strip(text), F.lit("")), lambda t: once(inner(t), lambda i: F.when(t.isNotNull(), F.when(F.try_parse_json(i).isNotNull(), i).otherwise(_from_literal(i)))))
+
+
+def _from_literal(inner: Column) -> Column:
     numbers = F.regexp_replace(inner, r"Decimal\(\s*['\"]([+-]?\d+(?:\.\d+)?)['\"]\s*\)", "$1")
     # A string literal is put aside whole, so words inside it stay as they are.
     piece = F.regexp_extract_all(numbers, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""), F.lit(0))
     bare = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
     quoted = lambda p: F.concat(F.lit('"'), F.replace(F.replace(p.substr(F.lit(2), F.length(p) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     made = F.array_join(F.transform(piece, lambda p: F.when(p.startswith("'") & p.endswith("'") & (F.length(p) > 1), quoted(p)).when(p.startswith('"'), p).otherwise(bare(p))), "")
-    return F.when(t.isNull(), F.lit(None)).when(F.try_parse_json(inner).isNotNull(), inner).when(F.try_parse_json(made).isNotNull(), made).otherwise(F.to_json(F.struct(inner.alias("valor"))))
+    return once(made, lambda m: F.when(F.try_parse_json(m).isNotNull(), m).otherwise(F.to_json(F.struct(inner.alias("valor")))))
 
 
 def warnings_list(text: Column) -> Column:
