@@ -5,10 +5,13 @@ Every step is a projection over the rows; nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.functions.numbers import once
 from ledgerloom.operators import extraction
 from ledgerloom.operators.review import PLACEHOLDER
 
@@ -70,18 +73,18 @@ def tax_codes(found: Column) -> Column:
 def told_company(items: Column, said: Column) -> Column:
     """Why the company is TOLD_COMPANY, the reasons joined by ``+``; NULL where nothing tells it."""
     lines = F.transform(F.coalesce(items, F.array().cast(_ITEMS)), lambda x: F.coalesce(x["concepto"], F.lit("")))
-    month = F.lit(False)
-    for m in MONTHS:
-        month = month | F.lower(F.coalesce(said, F.lit(""))).contains(m)
+    month = once(F.lower(F.coalesce(said, F.lit(""))), lambda t: reduce(lambda a, b: a | b, (t.contains(m) for m in MONTHS)))
     reasons = _given(F.when(F.exists(lines, lambda c: F.lower(F.trim(c)).isin(*SHIPPING)), "envio"), F.when(month, "mes"), F.when(F.exists(lines, lambda c: c.rlike(PRODUCT)), "asin"))
-    return F.when(F.size(reasons) > 0, F.array_join(reasons, "+"))
+    return F.nullif(F.array_join(reasons, "+"), F.lit(""))
 
 
 def split_codes(items: Column) -> Column:
     """Items whose units or amount end in a tax code give it to ``codigo_impuesto``, unless that has one."""
 
     def one(x: Column) -> Column:
-        units, amount = extraction.split_code(x["unidades"]), extraction.split_code(x["importe_total"])
+        return once(F.struct(extraction.split_code(x["unidades"]).alias("u"), extraction.split_code(x["importe_total"]).alias("a")), lambda s: made(x, s["u"], s["a"]))
+
+    def made(x: Column, units: Column, amount: Column) -> Column:
         code = F.coalesce(F.nullif(F.trim(x["codigo_impuesto"]), F.lit("")), amount["codigo"], units["codigo"])
         return F.struct(x["concepto"].alias("concepto"), units["valor"].alias("unidades"), amount["valor"].alias("importe_total"), x["descuento_porcentaje"].alias("descuento_porcentaje"), x["descuento_importe"].alias("descuento_importe"), code.alias("codigo_impuesto"))
 
@@ -129,8 +132,8 @@ def postprocess(rows: DataFrame, answer: str = "respuesta") -> DataFrame:
 
 def _wrong_kind(found: Column, name: str) -> Column:
     """A warning where the answer's totals or taxes are no object; they are read as missing."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(found), f"$.{name}", "variant"))
-    return F.when(~kind.startswith("OBJECT") & (kind != "VOID"), F.lit(f"{name}_mal_tipo_eliminado=1"))
+    told = F.schema_of_variant(F.try_variant_get(F.try_parse_json(found), f"$.{name}", "variant"))
+    return once(told, lambda kind: F.when(~kind.startswith("OBJECT") & (kind != "VOID"), F.lit(f"{name}_mal_tipo_eliminado=1")))
 
 
 def missing_from(first: Column, second: Column) -> Column:
