@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
-A text is cut by the tokenizer's pattern; every distinct piece is encoded once per task by folding
-the ranked merges over its bytes (the adjacent pair of lowest rank first, the leftmost of equals),
+A text is cut by the tokenizer's pattern; the distinct pieces that a worker does not know are encoded by folding
+the ranked merges over their bytes (the adjacent pair of lowest rank first, the leftmost of equals), many pieces a step,
 and a text's ids are the concatenated ids of its pieces. Decoding concatenates the byte strings of
-the ids. The ranks are the file's fixed table; each task keeps the pieces it has met, CACHE of them at most.
+the ids. The ranks are the file's fixed table; each worker keeps CACHE of the pieces it has met at most.
 
 Defined results: a null text encodes as the empty text (no ids); repeated rows get equal ids; texts of any length and
 pieces of any length are encoded whole (long pieces by a heap, in n log n); an empty table gives an empty table.
@@ -15,8 +15,10 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,10 @@ from pyspark.sql import types as T
 from ledgerloom.session import text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a worker keeps encoded; beyond it, the store starts anew.
+#: Pieces that a worker keeps encoded; beyond it, only those in use stay.
 CACHE = 100_000
+#: Pieces of texts that are looked up at once, and pieces that are folded at once.
+LOOKED_UP, FOLDED = 200_000, 4_096
 #: Pieces longer than this are merged by a heap.
 LONG = 48
 #: The code points that are white space to the pattern.
@@ -54,27 +58,82 @@ def compile_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(inside.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 
 
-def fold_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    if len(piece) > LONG:
-        return _fold_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        best, at = None, -1
-        for i, r in enumerate(pairs):
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            return [ranks[p] for p in parts]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
-        if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1])
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """The pieces of a text. ASCII texts go by the same pattern with its classes cut to ASCII, which the standard library finds in half the time."""
+    every = compile_pattern(pattern).findall
+    inside = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "), pattern)
+    plain = inside.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]").replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]")
+    try:
+        ascii_ = re.compile(plain).findall
+    except re.error:  # words that only the regex module has
+        return every
+    return lambda text: ascii_(text) if text.isascii() else every(text)
+
+
+class Merges:
+    """The ranked merges as a table of pairs of ids; a joined pair's rank is its id."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+        pairs = [(a << 32 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+        self.pairs, self.joined = np.array(sorted([*pairs, (self.NONE, self.NONE)]), dtype=np.int64).T.copy()
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, NONE where they do not join."""
+        pair = a << 32 | b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.joined[at], self.NONE)
+
+    def fold(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit integers."""
+        out, todo = [b""] * len(pieces), []
+        for i, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(piece) > LONG:
+                out[i] = np.array(_fold_long(piece, self.ranks), dtype="<u4").tobytes()
+            elif piece:
+                todo.append(i)
+        todo.sort(key=lambda i: len(pieces[i]))
+        for start in range(0, len(todo), FOLDED):
+            some = todo[start : start + FOLDED]
+            for i, ids in self._fold([pieces[i] for i in some], some):
+                out[i] = ids
+        return out
+
+    def _fold(self, pieces: list[bytes], names: list[int]) -> Iterator[tuple[int, bytes]]:
+        """(name, ids) of pieces of like lengths: rows of ids, of which each step joins one pair."""
+        width = max(map(len, pieces))
+        size, name = np.array([len(p) for p in pieces]), np.array(names)
+        ids = self.bytes[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, width)]
+        place = np.arange(width)
+        ids[place >= size[:, None]] = -1
+        # The last column of the ranks stays NONE, so a row without pairs has a place too.
+        ranks = np.full(ids.shape, self.NONE)
+        ranks[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
+        ranks[place >= size[:, None] - 1] = self.NONE
+        while len(ids):
+            row = np.arange(len(ids))
+            at = ranks.argmin(axis=1)
+            best = ranks[row, at]
+            live = best != self.NONE
+            if not live.all():
+                for i, k, found in zip(name[~live].tolist(), size[~live].tolist(), ids[~live].astype("<u4"), strict=True):
+                    yield i, found[:k].tobytes()
+                ids, ranks, size, name, at, best = (x[live] for x in (ids, ranks, size, name, at, best))
+                row = np.arange(len(ids))
+            source = np.minimum(place + (place > at[:, None]), width - 1)
+            ids, ranks = np.take_along_axis(ids, source, 1), np.take_along_axis(ranks, source, 1)
+            size = size - 1
+            ids[row, at] = best
+            before = at > 0
+            ranks[row[before], at[before] - 1] = self.rank(ids[row[before], at[before] - 1], best[before])
+            after = at + 1 < size
+            ranks[row, at] = self.NONE
+            ranks[row[after], at[after]] = self.rank(best[after], ids[row[after], at[after] + 1])
 
 
 def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -107,33 +166,40 @@ def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(fold_merges(piece.encode("utf-8", "ignore"), self.ranks), dtype="<u4").tobytes()
-        if len(piece) <= LONG:
-            self[piece] = ids
-        return ids
-
-
 class Codec:
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
-        self.find, self.pieces = compile_pattern(pattern).findall, Pieces(ranks)
-        self.tokens = {i: b for b, i in ranks.items()}
+        self.find, self.merges, self.pieces = finder(pattern), Merges(ranks), {}
+        self.tokens = np.full(max(ranks.values()) + 1, None, dtype=object)
+        for piece, i in ranks.items():
+            self.tokens[i] = piece
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text))) if text else b""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        found = [self.find(t) if t else [] for t in texts]
+        flat, ids = list(chain.from_iterable(found)), []
+        for start in range(0, len(flat), LOOKED_UP):
+            some = flat[start : start + LOOKED_UP]
+            long_ = self._meet(set(some))
+            ids += map(self.pieces.__getitem__, some)
+            for piece in long_:
+                del self.pieces[piece]
+        ends = list(accumulate(map(len, found)))
+        return [b"".join(ids[end - len(f) : end]) for end, f in zip(ends, found, strict=True)]
+
+    def _meet(self, pieces: set[str]) -> list[str]:
+        """Encodes the pieces that are not known; a full store keeps only those of ``pieces``. The new ones that are too long to be kept."""
+        new = list(pieces.difference(self.pieces))
+        if len(self.pieces) + len(new) > CACHE:
+            self.pieces = {p: self.pieces[p] for p in pieces.intersection(self.pieces)}
+        self.pieces.update(zip(new, self.merges.fold([p.encode("utf-8", "ignore") for p in new]), strict=True))
+        return [p for p in new if len(p) > LONG]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b"".join(self.tokens.take(np.frombuffer(ids, dtype="<u4")).tolist())
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -154,7 +220,7 @@ def encoder(path: str | None = None, pattern: str | None = None):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(*chosen)
         for texts in batches:
-            yield pd.Series([c.encode(t) for t in texts], dtype=object)
+            yield pd.Series(c.encode_all(texts), dtype=object)
 
     return encode
 
@@ -192,8 +258,7 @@ def round_trip(path: str | None = None, pattern: str | None = None):
         c = codec(*chosen)
         for texts in batches:
             rows = []
-            for t in texts:
-                ids = c.encode(t)
+            for ids in c.encode_all(texts):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=ROUND_TRIP.names)
 
