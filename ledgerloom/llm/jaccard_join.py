@@ -49,7 +49,7 @@ SAMPLE_MOST, SEEN, LAST = 10_000, 3, 100_000
 #: Neighbours that a class takes in a task; then a later class takes over.
 NEIGHBOURS = 500
 #: Candidates of a shard, and bytes of their packed texts, on average.
-SHARD, SHARD_BYTES = 1_500, 8_000_000
+SHARD, SHARD_BYTES = 1_500, 4_000_000
 #: Labels of a signature that are searched pair by pair; with more, its classes are joined in blocks.
 LABELS = 30
 #: Classes whose ids are broadcast to pick their texts; more are joined by shuffle.
@@ -99,9 +99,10 @@ def _pack(text: str, pack: zstandard.ZstdCompressor) -> bytes:
     return pack.compress(text.encode("utf-8", "ignore"))
 
 
-def _unpack(packed, n: int) -> list[np.ndarray]:
+def _unpack(packed, n: int) -> Iterator[np.ndarray]:
+    """The sets of packed texts, one at a time."""
     unpack = zstandard.ZstdDecompressor()
-    return [shingles(unpack.decompress(z).decode(), n) for z in packed]
+    return (shingles(unpack.decompress(z).decode(), n) for z in packed)
 
 
 def signatures(s: np.ndarray, avoid: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -192,17 +193,32 @@ def needed(a, b, num: int, den: int):
     return -((-num * (a + b)) // (num + den))
 
 
+def _starts(flat: np.ndarray) -> np.ndarray:
+    """Where a run of equal numbers begins."""
+    out = np.ones(len(flat), dtype=bool)
+    np.not_equal(flat[1:], flat[:-1], out=out[1:])
+    return out
+
+
+def _shared(flat: np.ndarray) -> np.ndarray:
+    """Which elements stand there more than once."""
+    order = np.argsort(flat, kind="stable")
+    starts = _starts(flat[order])
+    out = np.empty(len(flat), dtype=bool)
+    out[order] = ~(starts & np.append(starts[1:], True))
+    return out
+
+
 class Shard:
     """An inverted index over some sets."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self.owner, flat = owner[order], flat[order]
-        self.elements, first = np.unique(flat, return_index=True)
-        self.bounds = np.append(first, len(flat))
+        self.owner, flat = np.repeat(np.arange(len(sets)), self.sizes)[order], flat[order]
+        first = np.flatnonzero(_starts(flat))
+        self.elements, self.bounds = flat[first], np.append(first, len(flat))
 
     def search(self, query: np.ndarray, num: int, den: int, skip: np.ndarray | None = None) -> np.ndarray:
         """The sets that reach the overlap with the query; those where ``skip`` holds aren't searched."""
@@ -243,9 +259,9 @@ def join_shard(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     live = np.arange(len(sets))
     while True:  # a set that shares too few of its elements with any other links with nothing
         flat = np.concatenate([sets[i] for i in live]) if len(live) else np.zeros(0, dtype=np.int64)
-        _, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
         sizes = np.array([len(sets[i]) for i in live], dtype=np.int64)
-        shared = np.add.reduceat((df[inverse] > 1).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(flat) else sizes
+        shared = np.add.reduceat(_shared(flat), np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64) if len(flat) else sizes
+        del flat  # the index makes its own
         keep = shared * den >= sizes * num
         if keep.all():
             break
@@ -271,7 +287,7 @@ def _within(n: int, num: int, den: int):
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("class").sort_values("class", ignore_index=True)
-        names, low = rows["class"].to_numpy(), join_shard(_unpack(rows["z"], n), num, den)
+        names, low = rows["class"].to_numpy(), join_shard(list(_unpack(rows["z"], n)), num, den)
         linked = low != np.arange(len(names))
         return pd.DataFrame({"a": names[linked], "b": names[low[linked]]})
 
@@ -284,7 +300,7 @@ def _across(n: int, num: int, den: int):
     def work(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = set()
         if len(index) and len(queries):
-            shard, (names, codes) = Shard(_unpack(index["z"], n)), np.unique(index["label"].to_numpy(), return_inverse=True)
+            shard, (names, codes) = Shard(list(_unpack(index["z"], n))), np.unique(index["label"].to_numpy(), return_inverse=True)
             code_of = {name: i for i, name in enumerate(names)}
             for query, a in zip(_unpack(queries["_z"], n), queries["_label"], strict=True):
                 found = shard.search(query, num, den, skip=codes == code_of[a] if a in code_of else None)
@@ -369,7 +385,7 @@ def link_classes(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch)
     texts = scratch.written(texts.join(live, "x", "left_semi").select("class", "x", "z", F.concat("fresh", "signed").alias("signed")).dropDuplicates(["class"]), "jaccard-texts")
     joined = texts.select("class", "x", "z").join(_few(members), "x").groupBy("shard").applyInPandas(_within(n, num, den), LINKS)
     found = components(scratch.written(joined, "jaccard-links"), scratch).select(F.col("node").alias("class"), "label")
-    marks = texts.select("class", "x", "signed").join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    marks = texts.select("class", "x", "signed", F.length("z").alias("bytes")).join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
     marks = scratch.written(marks, "jaccard-marks")
     left = _unsettled(marks, texts.select("class", "z"), n, num, den, scratch)
     if left is None:
@@ -380,7 +396,7 @@ def link_classes(rows: DataFrame, n: int, num: int, den: int, scratch: Scratch)
 
 def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
     """Links (a, b) between labels that share a signature; None if no signature has several labels."""
-    posts = marks.select("class", "x", "label", F.explode("signed").alias("sig"))
+    posts = marks.select("class", "label", "bytes", F.explode("signed").alias("sig"))
     hashed = marks.select(F.xxhash64("label").alias("_l"), F.explode("signed").alias("sig"))
     several = hashed.groupBy("sig").agg(F.min("_l").alias("_low"), F.max("_l").alias("_high")).where("_low <> _high").select("sig")
     several = scratch.written(several, "jaccard-open")
@@ -388,21 +404,24 @@ def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, s
         return None
     posts = scratch.written(posts.join(_few(several), "sig"), "jaccard-posts")
     sizes = marks.groupBy("label").agg(F.count("*").alias("size"))
-    by_label = posts.groupBy("sig", "label").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("_h"))
-    counts = scratch.written(by_label.groupBy("sig").agg(F.count("*").alias("labels"), F.sum("_n").alias("rows"), F.xxhash64(F.sum("_h"), F.sum("_n")).alias("group")), "jaccard-counts")
-    many = counts.where(F.col("labels") > LABELS).groupBy("group").agg(F.min("sig").alias("sig"), F.max("rows").alias("rows"))  # signatures of the same classes are one group
+    by_label = posts.groupBy("sig", "label").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("_h"))
+    counts = scratch.written(by_label.groupBy("sig").agg(F.count("*").alias("labels"), F.sum("_n").alias("rows"), F.sum("_b").alias("bytes"), F.xxhash64(F.sum("_h"), F.sum("_n")).alias("group")), "jaccard-counts")
+    many = counts.where(F.col("labels") > LABELS).groupBy("group").agg(F.min("sig").alias("sig"), F.max("rows").alias("rows"), F.max("bytes").alias("bytes"))  # signatures of the same classes are one group
     few = by_label.join(counts.where(F.col("labels") <= LABELS).select("sig"), "sig").join(sizes, "label").select("sig", "label", "size")
     few = scratch.written(few, "jaccard-few")
 
     # Pair by pair: the classes of a label are asked for in each larger label of their signatures.
     larger = few.select("sig", F.col("label").alias("target"), F.col("size").alias("_size"))
     ahead = few.join(larger, "sig").where("struct(size, label) < struct(_size, target)").select("sig", "label", "target")
-    ask = scratch.written(posts.join(ahead, ["sig", "label"]).select("target", "class").distinct(), "jaccard-ask")
-    held = scratch.written(posts.join(ahead.select("sig", F.col("target").alias("label")).distinct(), ["sig", "label"]).select(F.col("label").alias("target"), "class").distinct(), "jaccard-held")
-    total = held.count()
-    shape = held.groupBy("target").agg(F.ceil(F.count("*") / SHARD).alias("blocks")).join(ask.groupBy("target").agg(F.ceil(F.count("*") / (4 * SHARD)).alias("parts")), "target")
+    ask = scratch.written(posts.join(ahead, ["sig", "label"]).select("target", "class", "bytes").distinct(), "jaccard-ask")
+    held = scratch.written(posts.join(ahead.select("sig", F.col("target").alias("label")).distinct(), ["sig", "label"]).select(F.col("label").alias("target"), "class", "bytes").distinct(), "jaccard-held")
+    # An index has SHARD classes and SHARD_BYTES of their texts, its queries four times as many.
+    cut = lambda rows, size, times: F.ceil(F.greatest(rows / (times * SHARD), size / (times * SHARD_BYTES)))
+    share = lambda times: cut(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), times)
+    places = max(1, *(t.agg(share(times)).first()[0] for t, times in ((held, 1), (ask, 4))))
+    shape = held.groupBy("target").agg(share(1).alias("blocks")).join(ask.groupBy("target").agg(share(4).alias("parts")), "target")
     shape = scratch.written(shape, "jaccard-shape")
-    place = F.when((F.col("blocks") == 1) & (F.col("parts") == 1), F.pmod(F.xxhash64("target"), F.lit(max(1, -(-total // SHARD))))).otherwise(F.xxhash64("target", "_block", "_part")).alias("place")
+    place = F.when((F.col("blocks") == 1) & (F.col("parts") == 1), F.pmod(F.xxhash64("target"), F.lit(places))).otherwise(F.xxhash64("target", "_block", "_part")).alias("place")
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
     index = held.join(shape, "target").withColumn("_block", own("blocks")).withColumn("_part", to("parts")).select("class", place)
@@ -416,7 +435,7 @@ def _unsettled(marks: DataFrame, texts: DataFrame, n: int, num: int, den: int, s
         return links
 
     # In blocks: every class of the group meets every other one in some shard.
-    blocks = posts.join(many, "sig").select("class", "group", F.ceil(F.col("rows") / SHARD).alias("blocks")).withColumn("_own", own("blocks")).withColumn("_other", to("blocks"))
+    blocks = posts.drop("bytes").join(many, "sig").select("class", "group", cut(F.col("rows"), F.col("bytes"), 1).alias("blocks")).withColumn("_own", own("blocks")).withColumn("_other", to("blocks"))
     shard = F.xxhash64("group", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("shard")
     joined = texts.join(blocks.select("class", shard), "class").groupBy("shard").applyInPandas(_within(n, num, den), LINKS)
     label = marks.select("class", "label")
