@@ -108,5 +108,7 @@ def literal_json(text: Column) -> Column:
     """JSON of a text that is JSON or a Python literal of any kind: nested, with tuples, sets, bytes, escapes and decimals. Only what is not JSON already leaves the JVM."""
     keys = F.json_object_keys(text)
     wrapped = F.coalesce((F.size(keys) == 1) & (keys[0] == "valor"), F.lit(False))
-    is_json = F.try_parse_json(text).isNotNull() & ~wrapped
+    # Spark's parsers stop behind the first value, so the text is read as the first of two values; the second is found only if nothing else stands between.
+    end = F.xxhash64(text)
+    is_json = F.coalesce(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), end.cast("string"), F.lit("]"))), "$[1]", "long") == end, F.lit(False)) & ~wrapped
     return F.when(F.trim(text) == "", F.lit(None)).when(is_json, text).otherwise(_literal_json(F.when(~is_json, text)))

@@ -218,6 +218,13 @@ def test_literals_are_those_of_python(spark):
     assert column(spark, json_values.literal_json, odd) == ['{"a":1.2,"b":[1,2]}', '[1,"x"]', '{"valor":"{\'a\': open(\'x\')}"}', '{"valor":"' + "[" * 500 + '"}', None, None, None, '{"valor":1}', '"(1+2j)"']
 
 
+def test_literals_are_read_to_their_end(spark):
+    """Spark's parsers take the first value of a text and pass over what follows."""
+    texts = ["1 + 2j", "1, 2", '{"a":1} x', "[1] [2]", "1],[2", " [1, 2] ", '{"a":1}\n', '{"valor":"x"} y', "3"]
+    found = column(spark, json_values.literal_json, texts)
+    assert found == ['"(1+2j)"', "[1,2]", '{"valor":"{\\"a\\":1} x"}', '{"valor":"[1] [2]"}', '{"valor":"1],[2"}', " [1, 2] ", '{"a":1}\n', '{"valor":"{\\"valor\\":\\"x\\"} y"}', "3"]
+
+
 def test_why_there_is_no_json(spark):
     cases = [None, "", '"x"', "3", "sin nada", "a } b {", '{"a": }', '```json\n[1]\n```', '{"a":1}', 'x {"a":1} y']
     assert column(spark, text.json_error, cases) == ["texto_vacio", "texto_vacio", "raiz_no_es_objeto", "raiz_no_es_objeto", "sin_bloque", "sin_bloque", "no_parseable", "raiz_no_es_objeto", None, None]
