@@ -32,6 +32,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,8 @@ def width_for(vocabulary: int) -> int:
 
 def packed(ids: np.ndarray, width: int) -> bytes:
     """Ids as width bits each, the lowest bit first; the last byte is padded with zeros."""
+    if width in (8, 16, 32):
+        return ids.astype(f"<u{width // 8}").tobytes()
     bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width) if len(ids) else np.zeros(0, dtype=np.uint8)
     return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
@@ -156,6 +159,13 @@ class Reader:
         self.file.close()
 
 
+def _strings(pieces: pa.LargeStringArray) -> list[str]:
+    """Pieces without spaces as a list; one text that is cut takes a tenth of the time of a text each."""
+    if not len(pieces):
+        return []
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(pieces)], pa.int64()), pieces), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+
+
 class Encoder:
     """Texts to ids by a file of the tokenizers library, without special tokens."""
 
@@ -173,8 +183,8 @@ class Encoder:
         #: Ids of pieces, those met lately and those met before.
         self.known, self.old = {}, {}
 
-    def _cut(self, text: str) -> list[str]:
-        """Pieces whose ids, one after another, are the text's."""
+    def _spaced(self, text: str) -> str:
+        """The text with a space between pieces whose ids, one after another, are the text's."""
         try:
             kinds = text.encode("latin-1").translate(_KINDS)
         except UnicodeEncodeError:
@@ -186,7 +196,7 @@ class Encoder:
             if b"mm" not in kinds and b"pm" not in kinds:  # each mark stands behind a letter, a digit or white space, so it begins a token
                 for m in MARKS:
                     text = text.replace(m, f" {m}")
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -211,20 +221,28 @@ class Encoder:
         """The ids of each text as unsigned 32-bit numbers."""
         if not self.by_piece:
             return self._library(texts)
-        known, old, cut = self.known, self.old, [self._cut(t) for t in texts]
-        words, others = [], []
-        for p in set().union(*cut) - known.keys() if cut else ():
-            ids = old.get(p)
-            if ids is not None:
-                known[p] = ids
-            elif p.isalpha():
-                words.append(p)
-            else:
-                others.append(p)
-        known.update(zip(words, self._words(words), strict=True))
-        known.update(zip(others, self._library(others), strict=True))
-        get = known.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
+        # Arrow cuts the texts and numbers the distinct pieces, so Python meets a piece once a batch.
+        spaced = [self._spaced(t).encode() for t in texts]
+        ends = np.cumsum([0, *map(len, spaced)], dtype=np.int64)
+        cut = pc.split_pattern(pa.LargeStringArray.from_buffers(len(spaced), pa.py_buffer(ends), pa.py_buffer(b"".join(spaced))), " ")
+        coded = cut.flatten().dictionary_encode()
+        known, old, pieces = self.known, self.old, _strings(coded.dictionary)
+        ids = list(map(known.get, pieces))
+        words, others = {}, {}
+        for i, p in enumerate(pieces):
+            if ids[i] is None:
+                ids[i] = old.get(p)
+                if ids[i] is not None:
+                    known[p] = ids[i]
+                else:
+                    (words if p.isalpha() else others)[p] = i
+        for new, encode in ((words, self._words), (others, self._library)):
+            for (p, i), x in zip(new.items(), encode(list(new)), strict=True):
+                known[p] = ids[i] = x
+        found = pa.array(ids, pa.large_binary()).take(coded.indices)
+        starts = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1) if len(found) else np.zeros(1, dtype=np.int64)
+        ends, data = starts[cut.offsets.to_numpy()].tolist(), memoryview(found.buffers()[2] or b"")
+        out = [bytes(data[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
         for p in others:
             if len(p) > LONGEST:
                 del known[p]

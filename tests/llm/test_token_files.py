@@ -103,3 +103,24 @@ def test_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert T.op11_token_files(spark, str(tmp_path)).collect() == []
+
+
+def test_a_piece_is_looked_up_once_a_batch():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.n += 1
+            return super().__getitem__(k)
+
+    encode = T.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["uno dos, tres. cuatro\ncinco"] * 100 + ["", " ", "Ñu, ñandú", "日本 語", "a\x00b"]
+    plain = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32).tobytes() for t in texts]
+    encode.known = Counted()
+    assert encode(texts) == plain and encode.known.n < 50
+    assert encode([]) == [] and encode([""]) == [b""]
+    assert T.packed(np.array([1, 49_000], dtype=np.uint32), 16) == b"\x01\x00\x68\xbf"
