@@ -287,22 +287,28 @@ def _fold(replace: bool):
     return work
 
 
-def replay(documents: DataFrame, changes: DataFrame, key: str, doc: str, order: list[str], path: str = "campo", value: str = "valor", replace: bool = False) -> DataFrame:
+def replay(documents: DataFrame, changes: DataFrame, key: str, doc: str, order: list[str], path: str = "campo", value: str = "valor", replace: bool = False, touched: str | None = None) -> DataFrame:
     """Documents (JSON text) with all of their changes applied in order, and ``avisos``, one for each change that fails.
 
     Rows are dealt by document and sorted, and folded as they come, so a history is never held. Lists grow to the position that
     a change names. A scalar in the way of a path fails the change, or is replaced with ``replace``. Documents without
-    changes stay as they are.
+    changes stay as they are, and do not leave the JVM. ``touched`` names a boolean column of documents, one a key, that tells which
+    have changes (a null key has none); without it they are looked up.
     """
     text_batches(documents.sparkSession)
     kind, none = documents.schema[key].dataType, F.lit(None).cast("string")
     sort = [f"_o{i}" for i in range(len(order))]
     todo = changes.select(F.col(key).cast(kind).alias("_key"), F.lit(True).alias("_change"), none.alias("_document"), F.col(path).alias("_path"), F.col(value).alias("_value"), *(F.col(o).alias(n) for o, n in zip(order, sort, strict=True)))
-    each = documents.select(F.col(key).alias("_key"), F.lit(False).alias("_change"), F.col(doc).alias("_document")).distinct()
-    rows = todo.unionByName(each, allowMissingColumns=True).where("_key is not null").repartition("_key").sortWithinPartitions("_key", "_change", *sort, "_path", "_value")
+    todo = todo.where("_key is not null")
+    asked = documents.join(todo.select("_key"), F.col(key) == F.col("_key"), "left_semi") if touched is None else documents.where(touched)
+    each = asked.select(F.col(key).alias("_key"), F.lit(False).alias("_change"), F.col(doc).alias("_document"))
+    each = each.distinct() if touched is None else each
+    rows = todo.unionByName(each, allowMissingColumns=True).repartition("_key").sortWithinPartitions("_key", "_change", *sort, "_path", "_value")
     schema = T.StructType([T.StructField("_key", kind), T.StructField("_before", T.StringType()), T.StructField("_after", T.StringType()), T.StructField("_said", T.ArrayType(T.StringType()))])
     done = rows.select("_key", "_change", "_document", "_path", "_value").mapInPandas(_fold(replace), schema)
-    joined = documents.join(done, (F.col(key) == F.col("_key")) & F.col(doc).eqNullSafe(F.col("_before")), "left")
+    # The column in the condition, so that Spark sees one plan of the documents in both places and shuffles them once.
+    same = F.col(doc).eqNullSafe(F.col("_before")) if touched is None else F.col(touched)
+    joined = documents.join(done, (F.col(key) == F.col("_key")) & same, "left")
     return joined.select(*(F.coalesce("_after", doc).alias(doc) if c == doc else F.col(c) for c in documents.columns), F.coalesce("_said", F.array().cast("array<string>")).alias("avisos"))
 
 

@@ -15,11 +15,16 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], where: Column | N
     return kept.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
-def latest_or_any(rows: DataFrame, keys: list[str], order: list[str], ok: str) -> DataFrame:
-    """The latest row that is ok, else the latest of any kind, with ``fallback``; one aggregation."""
-    others = F.struct(*[c for c in rows.columns if c not in keys])
-    best = F.max_by(others, F.struct(F.coalesce(F.col(ok), F.lit(False)).alias("_ok"), *order))
-    return rows.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").withColumn("fallback", ~F.coalesce(F.col(ok), F.lit(False)))
+def latest_or_any(rows: DataFrame, keys: list[str], order: list[str], ok: str, others: DataFrame | None = None, there: str = "_there") -> DataFrame:
+    """The latest row that is ok, else the latest of any kind, with ``fallback``; one aggregation. With ``others``, rows of keys, a column tells whether
+    the key is among them, from the same aggregation; keys that only these have give no row."""
+    held, good = F.struct(*[c for c in rows.columns if c not in keys]), F.struct(F.coalesce(F.col(ok), F.lit(False)).alias("_ok"), *order)
+    if others is None:
+        best = rows.groupBy(*keys).agg(F.max_by(held, good).alias("_row"))
+    else:
+        both = rows.select(*keys, held.alias("_held"), good.alias("_good"), F.lit(False).alias(there)).unionByName(others.select(*keys, F.lit(True).alias(there)), allowMissingColumns=True)
+        best = both.groupBy(*keys).agg(F.max_by("_held", "_good").alias("_row"), F.max(there).alias(there)).where("_row is not null")
+    return best.select(*keys, "_row.*", *([] if others is None else [there])).withColumn("fallback", ~F.coalesce(F.col(ok), F.lit(False)))
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
